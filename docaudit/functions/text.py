@@ -9,11 +9,12 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docaudit import constants as C
 
@@ -38,7 +39,7 @@ def is_blank(c: Column) -> Column:
 # ------------------------------------------------------------------ accents
 @lru_cache
 def _simple_letters(form: str) -> tuple[str, str, str]:
-    """(from, to, regex class) for characters whose decomposition is one base character.
+    """(from, to, covered) for characters whose decomposition is one base character.
 
     Built from the Unicode data by rule: Latin, Greek and Cyrillic blocks, and marks, which
     ``translate`` deletes.
@@ -58,45 +59,40 @@ def _simple_letters(form: str) -> tuple[str, str, str]:
                 target.append(base)
     marks = "".join(chr(c) for c in range(0x300, 0x370)
                     if drop(chr(c)) and len(unicodedata.normalize(form, chr(c))) == 1)
-    return "".join(source) + marks, "".join(target), _char_class("".join(covered) + marks)
+    return "".join(source) + marks, "".join(target), "".join(covered) + marks
 
 
 def _is_mark(char: str) -> bool:
     return unicodedata.category(char).startswith("M")
 
 
-def _char_class(chars: str) -> str:
-    """A regex class of the given characters plus ASCII, written as code point ranges."""
-    codes = sorted(map(ord, chars))
-    ranges, start, last = [r"\x00-\x7F"], codes[0], codes[0]
-    for code in codes[1:] + [0x110000]:
-        if code != last + 1:
-            ranges.append(f"\\x{{{start:X}}}-\\x{{{last:X}}}")
-            start = code
-        last = code
-    return "[" + "".join(ranges) + "]"
+def _text_udf(fn):
+    """A function on one text as an Arrow-batched column function."""
+    def batch(texts: pd.Series) -> pd.Series:
+        return texts.map(fn, na_action="ignore")
+    return F.pandas_udf(batch, StringType())
 
 
-@F.pandas_udf("string")
-def _nfkd_fold(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: "".join(
-        c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)),
-        na_action="ignore")
+def _nfkd_fold(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text)
+                   if not unicodedata.combining(c))
 
 
-@F.pandas_udf("string")
-def _nfd_fold(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: "".join(
-        c for c in unicodedata.normalize("NFD", t) if not _is_mark(c)), na_action="ignore")
+def _nfd_fold(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", text) if not _is_mark(c))
 
 
 def fold_accents(c: Column, form: str = "NFKD") -> Column:
     """Decompose and drop the marks. Rare characters only ever leave the JVM."""
     source, target, covered = _simple_letters(form)
-    simple = c.rlike(f"^{covered}*$")
+    simple = _is_ascii(c) | _is_ascii(F.translate(c, covered, ""))
     exact = {"NFKD": _nfkd_fold, "NFD": _nfd_fold}[form]
-    return F.when(simple, F.translate(c, source, target)).otherwise(
-        exact(F.when(~simple, c)))
+    return (F.when(_is_ascii(c), c).when(simple, F.translate(c, source, target))
+            .otherwise(_text_udf(exact)(F.when(~simple, c))))
+
+
+def _is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
 
 
 def normalize_alt(c: Column) -> Column:
@@ -159,39 +155,29 @@ def _clean(text: str, rounds: int) -> str:
     for _ in range(rounds):
         text = re.sub(C.TAG, " ", html.unescape(text))
     text = unicodedata.normalize("NFC", text)
-    text = re.sub(C.CONTROL, " ", text).replace(" ", " ")
+    text = re.sub(C.CONTROL, " ", text).replace("\u00a0", " ")
     return re.sub(r"\s+", " ", text).strip()
 
 
-@F.pandas_udf("string")
-def _clean_once(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: _clean(t, 1), na_action="ignore")
-
-
-@F.pandas_udf("string")
-def _clean_twice(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: _clean(t, 2), na_action="ignore")
-
-
-# Text made only of these needs no entity decoding, tag removal or recomposition. Latin
-# letters are safe as long as no combining mark follows them.
-_PLAIN_TEXT = r"^[^&<>\x{300}-\x{36F}\x{0B80}-\x{1DFF}\x{2000}-\x{2BFF}\x{2C00}-\x{10FFFF}]*$"
+# A text below U+0300 without entity or tag marks needs no decoding and is composed already.
+_PLAIN_TEXT = r"^[^&<>\x{300}-\x{10FFFF}]*$"
 
 
-def _cleaned(c: Column, exact) -> Column:
+def _cleaned(c: Column, rounds: int) -> Column:
+    exact = _text_udf(partial(_clean, rounds=rounds))
     plain = c.rlike(_PLAIN_TEXT)
-    native = collapse_ws(F.translate(F.regexp_replace(c, C.CONTROL, " "), " ", " "))
+    native = collapse_ws(F.regexp_replace(c, C.CONTROL, " "))
     return F.when(plain, native).otherwise(exact(F.when(~plain, c)))
 
 
 def clean_web_text(c: Column) -> Column:
     """Entities once, tags out, NFC, one-line; NULL when nothing is left."""
-    return F.nullif(_cleaned(c, _clean_once), F.lit(""))
+    return F.nullif(_cleaned(c, 1), F.lit(""))
 
 
 def clean_archive_text(c: Column) -> Column:
     """Entities and tags twice; NULL for junk, file names, and texts without a letter."""
-    text = _cleaned(c, _clean_twice)
+    text = _cleaned(c, 2)
     edge = "[" + re.escape(C.EDGE_QUOTES).replace(" ", r"\x20").replace("\\'", "'") + "]"
     text = trim_ws(F.regexp_replace(text, f"^{edge}+|{edge}+$", ""))
     junk = ((text == "") | F.lower(text).isin(*C.JUNK_LITERALS)

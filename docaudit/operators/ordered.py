@@ -24,8 +24,8 @@ _H, _B, _N, _S = "__hash", "__block", "__in_block", "__salt"
 def input_bytes(df: DataFrame) -> int | None:
     """Bytes of the leaves of the plan, by Spark's own statistics; None when unknown."""
     try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(leaves.apply(i).stats().sizeInBytes().toString())
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes()))
                    for i in range(leaves.size()))
     except Exception:  # no classic session behind this DataFrame
         return None
@@ -150,6 +150,14 @@ def attach(rows: DataFrame, lookup: DataFrame, on: Sequence[str] | str, how: str
     return salted.join(lookup.withColumn(_S, F.explode(copies)), [*on, _S], how).drop(_S)
 
 
+def keep_present(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column and drop rows where it is NULL, evaluating it once.
+
+    A filter would be pushed below the projection and compute an Arrow function twice.
+    """
+    return df.withColumn(name, F.explode(F.array_compact(F.array(value))))
+
+
 def first_per_group(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     """The first row of each group in order: an aggregate, so copies collapse map-side."""
     rest = [c for c in df.columns if c != group]

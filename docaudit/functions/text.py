@@ -178,7 +178,7 @@ def clean_web_text(c: Column) -> Column:
 def clean_archive_text(c: Column) -> Column:
     """Entities and tags twice; NULL for junk, file names, and texts without a letter."""
     text = _cleaned(c, 2)
-    edge = "[" + re.escape(C.EDGE_QUOTES).replace(" ", r"\x20").replace("\\'", "'") + "]"
+    edge = f"[{C.EDGE_QUOTES}]"
     text = trim_ws(F.regexp_replace(text, f"^{edge}+|{edge}+$", ""))
     junk = ((text == "") | F.lower(text).isin(*C.JUNK_LITERALS)
             | text.rlike(C.ARCHIVE_FILE_NAME) | text.rlike(C.ORPHAN_EXTENSION)

@@ -1,8 +1,6 @@
 """Rule-built classifiers of alternative texts. Each is one CASE expression."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,45 +13,54 @@ def alt_state(alt: Column) -> Column:
             .when(T.is_blank(alt), C.ALT_EMPTY).otherwise(C.ALT_PRESENT))
 
 
+_GENERIC = "(" + "|".join(C.GENERIC_ALT_TEXTS) + ")"
+
+
 def alt_quality(alt: Column) -> Column:
     """Served heuristic: file names and noise, short generic words, length."""
-    clean = T.trim_ws(F.coalesce(alt, F.lit("")))
-    lower = F.lower(clean)
-    contains = reduce(lambda a, b: a | b, [lower.contains(g) for g in C.GENERIC_ALT_TEXTS])
-    starts = reduce(lambda a, b: a | b, [lower.startswith(g) for g in C.GENERIC_ALT_TEXTS])
-    n = F.length(clean)
-    return (F.when(clean.rlike(C.SERVED_FILE_NAME) | clean.rlike(C.NOISE_ONLY), C.INSUFFICIENT)
-            .when((n < 15) & contains, C.INSUFFICIENT)
-            .when(starts, C.WEAK)
-            .when(n < 15, C.WEAK)
-            .when(n >= 40, C.GOOD)
-            .otherwise(C.WEAK))
+    def judge(clean: Column) -> Column:
+        n, lower = F.length(clean), F.lower(clean)
+        return (F.when(clean.rlike(C.SERVED_FILE_NAME) | clean.rlike(C.NOISE_ONLY),
+                       C.INSUFFICIENT)
+                .when((n < 15) & lower.rlike(_GENERIC), C.INSUFFICIENT)
+                .when(lower.rlike("^" + _GENERIC), C.WEAK)
+                .when(n < 15, C.WEAK)
+                .when(n >= 40, C.GOOD)
+                .otherwise(C.WEAK))
+    return T.let(T.trim_ws(F.coalesce(alt, F.lit(""))), judge)
 
 
 def provisional_label(alt: Column) -> Column:
     """Pre-label of a cleaned text; other cuts than the served heuristic on purpose."""
     norm = T.normalize_alt(alt)
-    words = T.tokens(norm)
     blocked = F.array(*map(F.lit, C.BLOCKED_TERMS))
-    n = F.length(alt)
-    return (F.when(n < 10, C.INSUFFICIENT)
-            .when((F.size(words) > 0) & (F.size(F.array_except(words, blocked)) == 0),
-                  C.INSUFFICIENT)
-            .when(norm.isin(*C.BLOCKED_TERMS), C.INSUFFICIENT)
-            .when((n <= 30) | T.repeats_word(alt), C.WEAK)
-            .when(~T.has_structure(alt), C.WEAK)
-            .otherwise(C.GOOD))
+
+    def judge(row: Column) -> Column:
+        text, words, n = row["alt"], row["words"], F.length(row["alt"])
+        return (F.when(n < 10, C.INSUFFICIENT)
+                .when((F.size(words) > 0) & (F.size(F.array_except(words, blocked)) == 0),
+                      C.INSUFFICIENT)
+                .when(row["norm"].isin(*C.BLOCKED_TERMS), C.INSUFFICIENT)
+                .when((n <= 30) | T.repeats_word(text), C.WEAK)
+                .when(~T.has_structure(text), C.WEAK)
+                .otherwise(C.GOOD))
+    return T.let(F.struct(alt.alias("alt"), norm.alias("norm"), T.tokens(norm).alias("words")),
+                 judge)
 
 
 def insufficient_reason(alt: Column) -> Column:
     """Why a web alt is insufficient, or NULL."""
     clean = T.trim_ws(alt)
-    return (F.when(clean == "", F.lit(None).cast("string"))
-            .when(clean.rlike(C.WEB_HASH), "hash")
-            .when(clean.rlike(C.WEB_FILE_NAME), "nome_de_arquivo")
-            .when(~clean.rlike(C.HAS_LETTER), "sem_letra")
-            .when(T.normalize_alt(clean).isin(*C.SOLO_TERMS), "termo_generico_solto")
-            .when(F.length(clean) < 6, "curto_demais"))
+
+    def judge(row: Column) -> Column:
+        text = row["text"]
+        return (F.when(text == "", F.lit(None).cast("string"))
+                .when(text.rlike(C.WEB_HASH), "hash")
+                .when(text.rlike(C.WEB_FILE_NAME), "nome_de_arquivo")
+                .when(~text.rlike(C.HAS_LETTER), "sem_letra")
+                .when(row["norm"].isin(*C.SOLO_TERMS), "termo_generico_solto")
+                .when(F.length(text) < 6, "curto_demais"))
+    return T.let(F.struct(clean.alias("text"), T.normalize_alt(clean).alias("norm")), judge)
 
 
 def slice_of(source: Column, data_origin: Column, file: Column) -> Column:

@@ -50,7 +50,7 @@ def archive_candidates(files: DataFrame, source: str = "ambos") -> DataFrame:
 def collect_archive(files: DataFrame, limit: int, source: str = "ambos") -> Collection:
     """Distinct texts in order up to the limit, and why visited files were left out."""
     rows = archive_candidates(files, source)
-    firsts = first_per_group(rows.filter("group_key IS NOT NULL"), "group_key", ["ord"])
+    firsts = first_per_group(rows, "group_key", ["ord"]).filter("group_key IS NOT NULL")
     accepted = firsts.orderBy("ord").limit(limit)
     stop = _stop(accepted, "ord", limit)
     visited = rows.filter(stop.isNull() | (F.col("ord") <= stop))
@@ -73,10 +73,11 @@ def collect_pages(images: DataFrame, quota: int) -> Collection:
     cleaned = images.withColumn("text", T.clean_web_text(F.col("alt")))
     judged = cleaned.withColumn("reason", Q.insufficient_reason(F.col("text")))
     rows = judged.withColumn("place", F.struct("page_ord", "idx"))
-    found = rows.filter("reason IS NOT NULL").select(
+    found = rows.select(
         "place", "page_ord", "idx", "url", F.col("text").alias("alt"), "reason",
-        T.normalize_alt(F.col("text")).alias("group_key"))
-    accepted = first_per_group(found, "group_key", ["place"]).orderBy("place").limit(quota)
+        F.when(F.col("reason").isNotNull(), T.normalize_alt(F.col("text"))).alias("group_key"))
+    firsts = first_per_group(found, "group_key", ["place"])
+    accepted = firsts.filter("group_key IS NOT NULL").orderBy("place").limit(quota)
     stop = _stop(accepted, "place", quota)
     visited = rows.filter(stop.isNull() | (F.col("page_ord") <= stop["page_ord"]))
     tried = (F.col("reason").isNotNull()

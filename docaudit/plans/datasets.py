@@ -1 +1,224 @@
-"""To come."""
+"""Dataset construction over every line of every document."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docaudit import constants as C
+from docaudit.operators import dataset as DS
+from docaudit.plans import collections as PC
+from docaudit.plans import oracle as O
+from docaudit.plans.oracle import with_views
+from docaudit.plans.registry import query
+from docaudit.operators import collect as K
+from docaudit.sources import derived as D
+from docaudit.sources import manifest as M
+
+c = F.col
+
+
+@query("assembled_rows", with_views(f"""select id, file, doc_sha256, alt, has_alt, group_key,
+    {O.split_of('group_key')} split, lang org, s sphere, cast(null as varchar) as label from (
+    select concat(file, '#', line_no) id, file, sha256(text) doc_sha256, alt, alt<>'' has_alt,
+    case when n<>'' then n else concat('__sem_alt__', file) end group_key, lang, s from (
+    select concat('doc-', l.doc_id, '.docx') file, line_no, alt, {O.norm_alt('alt')} n, d.lang,
+    d.source s, d.text from d_lines l join documents d on l.doc_id=d.doc_id))""", "d_lines"))
+def assembled_rows(spark, sf_dir):
+    file = F.concat(F.lit("doc-"), "doc_id", F.lit(".docx"))
+    lines = D.alt_lines(spark, sf_dir).select(
+        file.alias("file"), c("line_no").alias("idx"), F.lit("word/document.xml").alias("part"),
+        F.lit("").alias("name"), "alt", F.lit("wp:docPr/@descr").alias("alt_origin"),
+        F.lit("").alias("context_before"), F.lit("").alias("context_after"))
+    provenance = D.table(spark, sf_dir, "documents").select(
+        file.alias("file"), F.sha2("text", 256).alias("sha256"), c("lang").alias("org"),
+        c("source").alias("sphere"), F.lit("doc").alias("category"),
+        F.lit("nao declarada").alias("license"), F.lit("").alias("url"))
+    return DS.assemble(lines, provenance).select(
+        "id", "file", "doc_sha256", "alt", "has_alt", "group_key", "split", "org", "sphere",
+        "label")
+
+
+@query("per_document_report", with_views("""select file, count(*) images,
+    count(case when alt<>'' then 1 end) with_alt, count(case when alt='' then 1 end) without_alt,
+    string_agg(distinct split, ',' order by split) splits from d_rows group by 1""", "d_rows"))
+def per_document_report(spark, sf_dir):
+    return DS.per_document_report(D.alt_rows(spark, sf_dir))
+
+
+@query("dataset_report", with_views("""select images, images_with_alt, distinct_alts, groups_treino,
+    groups_validacao, groups_teste, case when distinct_alts=0 then 'SEM AMOSTRA' when
+    distinct_alts<600 then concat('INSUFICIENTE: ', distinct_alts,
+    ' alts distintos contra os 600 do ADR 0002.') else
+    concat('SUFICIENTE em volume: ', distinct_alts, ' alts distintos.') end verdict
+    from (select count(*) images, count(case when alt<>'' then 1 end) images_with_alt,
+    count(distinct case when alt<>'' then group_key end) distinct_alts, """ + ", ".join(
+    f"count(distinct case when split='{s}' then group_key end) groups_{s}" for s in C.SPLITS)
+    + " from d_rows)", "d_rows"))
+def dataset_report(spark, sf_dir):
+    return DS.dataset_report(D.alt_rows(spark, sf_dir))
+
+
+_FIELDS = ["split", "provisional_label", "label", "label_origin", "source", "data_origin", "lang"]
+
+
+@query("value_distributions", with_views(" union all ".join(
+    f"select '{f}' field, coalesce({f}, 'None') as value, count(*) n from d_rows group by 2"
+    for f in _FIELDS), "d_rows"))
+def value_distributions(spark, sf_dir):
+    return DS.distributions(D.alt_rows(spark, sf_dir), _FIELDS)
+
+
+@query("merged_rows", with_views("""select id, group_key, false appended from d_rows where lang='en'
+    union all select id, group_key, true from (select *, row_number() over (partition by group_key
+    order by ord) o from d_rows where lang<>'en') where o=1 and group_key not in (
+    select group_key from d_rows where lang='en')""", "d_rows"))
+def merged_rows(spark, sf_dir):
+    rows = D.alt_rows(spark, sf_dir)
+    merged = DS.merge(rows.filter("lang = 'en'"), rows.filter("lang <> 'en'"))
+    return merged.select("id", "group_key", "appended")
+
+
+@query("applied_reviews", with_views("""select id, coalesce(r, label) as label, case when r is not
+    null then 'humano' else label_origin end label_origin, case when r is not null then
+    '2026-01-01T00:00:00+00:00' end reviewed_at from (select *, case when label is null and alt<>''
+    and length(alt)%2=0 then provisional_label end r from d_rows)""", "d_rows"))
+def applied_reviews(spark, sf_dir):
+    rows = D.alt_rows(spark, sf_dir)
+    decided = rows.filter("label IS NULL AND alt <> '' AND length(alt) % 2 = 0").select(
+        "ord", c("provisional_label").alias("label"))
+    return DS.apply_reviews(rows, decided, "2026-01-01T00:00:00+00:00").select(
+        "id", "label", "label_origin", "reviewed_at")
+
+
+@query("registered_reviews", with_views("""select id, provisional_label, label from d_rows
+    where label_origin='humano' and provisional_label is not null""", "d_rows"))
+def registered_reviews(spark, sf_dir):
+    return DS.registered_reviews(D.alt_rows(spark, sf_dir)).select(
+        "id", "provisional_label", "label")
+
+
+O.add_view("d_broken", """select * replace (case when length(alt)=7 then 'SUFFICIENT' else
+    provisional_label end as provisional_label, case when length(alt)=11 then null when
+    length(alt)=12 then 'treino' else split end as split) from d_rows""", ["d_rows"])
+
+
+def broken_rows(spark, sf_dir):
+    """The dataset with faults planted: a retired label, missing and overruled splits."""
+    n = F.length("alt")
+    return D.alt_rows(spark, sf_dir).withColumns({
+        "provisional_label": F.when(n == 7, "SUFFICIENT").otherwise(c("provisional_label")),
+        "split": F.when(n == 11, F.lit(None).cast("string")).when(n == 12, "treino").otherwise(
+            c("split"))})
+
+
+@query("working_label_violations", with_views("""select ord, case when provisional_label not in
+    ('GOOD', 'WEAK', 'INSUFFICIENT') then concat('linha ', ord, ': provisional_label ''',
+    provisional_label, ''' fora do vocabulario') when alt='' then concat('linha ', ord,
+    ': rotulada como ', provisional_label, ' mas sem alt') else concat('linha ', ord, ': divisao ''',
+    coalesce(split, 'null'), ''' fora do vocabulario') end message from d_broken where
+    provisional_label is not null and (provisional_label='SUFFICIENT' or alt='' or split is null)""",
+    "d_broken"))
+def working_label_violations(spark, sf_dir):
+    return DS.working_label(broken_rows(spark, sf_dir), "provisorio")[1]
+
+
+@query("working_samples", with_views("""select id, label y, split, coalesce(
+    data_origin='sintetico_fallback', false) synthetic from d_rows where label is not null
+    and alt<>''""", "d_rows"))
+def working_samples(spark, sf_dir):
+    return DS.working_label(D.alt_rows(spark, sf_dir), "humano")[0].select(
+        "id", "y", "split", "synthetic")
+
+
+@query("split_leaks", with_views("""select group_key, min(split) first_split, max(split) last_split
+    from (select *, case when length(alt)%5=0 and doc_id%2=0 then 'teste' else split end s2
+    from d_rows) r(ord, doc_id, id, file, alt, lang, n, source, data_origin, label, group_key, s0,
+    provisional_label, label_origin, split) group by 1 having min(split)<>max(split)""", "d_rows"))
+def split_leaks(spark, sf_dir):
+    moved = F.when((F.length("alt") % 5 == 0) & (c("doc_id") % 2 == 0), "teste").otherwise(c("split"))
+    return DS.leaks(D.alt_rows(spark, sf_dir).withColumn("split", moved))
+
+
+@query("trainability", with_views("""select *, case when total=0 then 'nenhuma amostra rotulada'
+    when total<15 then 'amostras abaixo do minimo' when train=0 then 'nenhuma amostra no treino'
+    when evaluation=0 then 'nenhuma amostra em validacao nem em teste' when
+    (train_GOOD>0)::int+(train_WEAK>0)::int+(train_INSUFFICIENT>0)::int<2 then
+    'o treino tem uma classe so' when train_GOOD in (1,2) or train_WEAK in (1,2) or
+    train_INSUFFICIENT in (1,2) then 'classe abaixo do minimo no treino' else 'treinavel' end gate
+    from (select count(*) total, count(case when split='treino' then 1 end) train,
+    count(case when split<>'treino' then 1 end) evaluation, """ + ", ".join(
+    f"count(case when split='treino' and provisional_label='{y}' then 1 end) train_{y}"
+    for y in C.LABELS) + " from d_rows where provisional_label is not null)", "d_rows"))
+def trainability(spark, sf_dir):
+    return DS.trainability(DS.working_label(D.alt_rows(spark, sf_dir), "provisorio")[0])
+
+
+@query("quota_state", with_views("""select count(case when coalesce(label, provisional_label)=
+    'INSUFFICIENT' then 1 end) have, greatest(50-count(case when coalesce(label, provisional_label)=
+    'INSUFFICIENT' then 1 end), 0) missing, count(case when coalesce(label, provisional_label)=
+    'INSUFFICIENT' then 1 end)>=50 met from d_rows""", "d_rows"))
+def quota_state(spark, sf_dir):
+    return DS.quota_state(D.alt_rows(spark, sf_dir))
+
+
+_SYNTHETIC = ", ".join("({}, {}, '{}', '{}')".format(i, r, a, p) for r, (p, alts) in enumerate(
+    C.SYNTHETIC_ALTS) for i, a in enumerate(alts))
+
+
+@query("synthetic_fill", with_views(f"""select concat('sintetico:', left(sha256(alt), 12)) id, alt,
+    lower(strip_accents(alt)) group_key, 'treino' split, p filter_reason from (select * from (values
+    {_SYNTHETIC}) v(i, r, alt, p) order by i, r limit 50) where lower(strip_accents(alt)) not in
+    (select group_key from d_rows)""", "d_rows"))
+def synthetic_fill(spark, sf_dir):
+    rows = D.alt_rows(spark, sf_dir)
+    return DS.fill_quota(rows, rows.limit(0), 1_000_000_000).select(
+        "id", "alt", "group_key", "split", "filter_reason")
+
+
+@query("archive_rows", with_views(f"""select concat('commons:', pageid) id, title file,
+    concat(pageid, '.jpg') image_name, alt, alt_origin, g group_key, {O.split_of('g')} split, license,
+    url, category, {O.provisional('alt')} provisional_label, cast(null as varchar) as label
+    from a_taken""", "a_taken"))
+def archive_rows(spark, sf_dir):
+    return DS.archive_rows(PC.archive_collection(spark, sf_dir).accepted).select(
+        "id", "file", "image_name", "alt", "alt_origin", "group_key", "split", "license", "url",
+        "category", "provisional_label", "label")
+
+
+@query("web_rows", with_views(f"""select concat('web:example.org/d/', page_id, '#', idx) id,
+    'example.org' file, t alt, g group_key, {O.split_of('g')} split, reason filter_reason,
+    concat('https://example.org/d/', page_id) url from d_taken""", "d_taken"))
+def web_rows(spark, sf_dir):
+    return DS.web_rows(K.collect_pages(PC.page_images(spark, sf_dir), C.QUOTA).accepted).select(
+        "id", "file", "alt", "group_key", "split", "filter_reason", "url")
+
+
+@query("manifest_upsert", """with o as (select url, sha256(html) sha256, concat(page_id, '.docx') file,
+    page_id%5<4 known from pages), f as (select url, sha256(case when page_id%3=0 then concat(html,
+    '!') else html end) new_sha, concat('novo-', page_id) new_file, case when page_id%7=0 then
+    'zip corrompido' end error, page_id from pages), b as (select f.*, case when known then sha256 end
+    sha256, case when known then file end file, known from f join o using (url))
+    select 'documento' kind, url, case when known and (error is not null or (sha256<>new_sha)) then
+    sha256 else new_sha end sha256, coalesce(file, new_file) detail from b where known or error is null
+    union all select 'falha', url, null, error from b where error is not null
+    union all select 'divergencia', url, new_sha, sha256 from b where known and error is null and
+    sha256<>new_sha""")
+def manifest_upsert(spark, sf_dir):
+    pages = D.table(spark, sf_dir, "pages")
+    old = pages.filter("page_id % 5 < 4").select(
+        "url", F.sha2("html", 256).alias("sha256"), F.concat("page_id", F.lit(".docx")).alias("file"),
+        F.lit("2026-01-01").alias("collected_at"), F.lit("2026-01-01").alias("verified_at"))
+    failures = pages.select("url", F.lit("antiga").alias("error"), F.lit("2026-01-01").alias(
+        "observed_at"))
+    html = F.when(c("page_id") % 3 == 0, F.concat("html", F.lit("!"))).otherwise(c("html"))
+    error = F.when(c("page_id") % 7 == 0, "zip corrompido")
+    fetched = pages.select(
+        "url", F.when(error.isNull(), F.sha2(html, 256)).alias("sha256"),
+        F.concat(F.lit("novo-"), "page_id").alias("file"), error.alias("error"))
+    m = M.upsert(old, failures, fetched, "2026-02-01")
+    docs = m.documents.select(F.lit("documento").alias("kind"), "url", "sha256",
+                              c("file").alias("detail"))
+    failed = m.failures.select(F.lit("falha").alias("kind"), "url", F.lit(None).cast(
+        "string").alias("sha256"), c("error").alias("detail"))
+    drift = m.divergences.select(F.lit("divergencia").alias("kind"), "url",
+                                 c("new_sha").alias("sha256"), c("sha256").alias("detail"))
+    return docs.unionByName(failed).unionByName(drift)

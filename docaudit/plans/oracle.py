@@ -192,3 +192,15 @@ def with_views(sql: str, *names: str) -> str:
     for name in names:
         visit(name)
     return "with " + ",\n".join(f"{n} as ({VIEWS[n]})" for n in ordered) + f"\n{sql}"
+
+
+_GROUP = "case when n<>'' then n else concat('__sem_alt__', file) end"
+add_view("d_rows", f"""select *, {split_of('group_key')} split, case when alt<>'' then
+    {provisional('alt')} end provisional_label, case when label is not null then 'humano' end
+    label_origin from (select *, {_GROUP} group_key from (select doc_id*100000+line_no ord, doc_id,
+    concat('doc-', doc_id, '.docx#', line_no) id, concat('doc-', doc_id, '.docx') file, alt, lang,
+    {norm_alt('alt')} n, case when doc_id%4 in (1,2) then 'wikimedia-commons' when doc_id%4=3 then
+    'web' end source, case when doc_id%4=3 and line_no%2=0 then 'sintetico_fallback' when doc_id%4=3
+    then 'coletado' end data_origin, case when (doc_id+line_no)%3=0 then case when quality=1 then
+    'GOOD' when toxic=1 then 'INSUFFICIENT' when quality=0 then 'WEAK' end end as label
+    from d_lines left join labels using (doc_id)))""", ["d_lines"])

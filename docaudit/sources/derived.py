@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docaudit.functions import quality as Q
 from docaudit.functions import text as T
 from docaudit.operators.ordered import attach, over_ordered
 from docaudit.operators.rules import Facts
@@ -107,3 +108,26 @@ def alt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "lang", "source", F.posexplode(F.split("text", "\n"))).select(
         "doc_id", F.col("pos").cast("bigint").alias("line_no"), "lang", "source",
         F.col("col").alias("line"), T.trim_ws(F.col("col")).alias("alt"))
+
+
+def alt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines as rows of an alt-text dataset of several sources, partly reviewed."""
+    d, n = F.col("doc_id"), F.col("line_no")
+    human = (F.when(F.col("quality") == 1, "GOOD").when(F.col("toxic") == 1, "INSUFFICIENT")
+             .when(F.col("quality") == 0, "WEAK"))
+    labels = table(spark, sf_dir, "labels")
+    rows = attach(alt_lines(spark, sf_dir), labels, "doc_id", "left")
+    group = T.group_key(F.col("alt"), F.concat(F.lit("doc-"), d, F.lit(".docx")))
+    rows = rows.select(
+        (d * 100000 + n).alias("ord"), d.alias("doc_id"),
+        F.concat(F.lit("doc-"), d, F.lit(".docx#"), n).alias("id"),
+        F.concat(F.lit("doc-"), d, F.lit(".docx")).alias("file"), "alt", "lang",
+        F.when((d % 4).isin(1, 2), "wikimedia-commons").when(d % 4 == 3, "web").alias("source"),
+        F.when((d % 4 == 3) & (n % 2 == 0), "sintetico_fallback")
+        .when(d % 4 == 3, "coletado").alias("data_origin"),
+        group.alias("group_key"),
+        F.when((d + n) % 3 == 0, human).alias("label"))
+    return rows.withColumns({
+        "split": T.split_of(F.col("group_key")),
+        "provisional_label": F.when(F.col("alt") != "", Q.provisional_label(F.col("alt"))),
+        "label_origin": F.when(F.col("label").isNotNull(), "humano")})

@@ -131,3 +131,8 @@ def alt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "split": T.split_of(F.col("group_key")),
         "provisional_label": F.when(F.col("alt") != "", Q.provisional_label(F.col("alt"))),
         "label_origin": F.when(F.col("label").isNotNull(), "humano")})
+
+
+def micros(ts):
+    """Microseconds of a timestamp without zone, read as UTC."""
+    return F.unix_micros(F.convert_timezone(F.lit("UTC"), F.lit("UTC"), ts).cast("timestamp"))

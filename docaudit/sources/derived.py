@@ -134,5 +134,8 @@ def alt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def micros(ts):
-    """Microseconds of a timestamp without zone, read as UTC."""
-    return F.unix_micros(F.convert_timezone(F.lit("UTC"), F.lit("UTC"), ts).cast("timestamp"))
+    """Microseconds since 1970 of a timestamp without zone, whatever the session's zone."""
+    days = F.date_diff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    seconds = F.extract(F.lit("SECOND"), ts)
+    return ((days * 24 + F.hour(ts)) * 60 + F.minute(ts)) * 60_000_000 + (
+        seconds * 1_000_000).cast("bigint")

@@ -85,7 +85,7 @@ def dropped_recommendations(spark, sf_dir):
 
 
 @query("cited_rules", with_views("""select doc_id, string_agg(concat(rule_id, ' (', criterion, ')'), ', '
-    order by at, rule_id) citations from (select doc_id, rule_id, criterion, min(length(evidence)) at
+    order by p, rule_id) citations from (select doc_id, rule_id, criterion, min(length(evidence)) p
     from findings group by all) group by 1""", "findings"))
 def cited_rules(spark, sf_dir):
     found = _findings(spark, sf_dir).withColumn("seq", F.length("evidence"))

@@ -2,19 +2,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder the cluster names; survives the loss of executors."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; one of our own only in local mode."""
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="docaudit-checkpoint-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh subfolder of the shared folder, for streams and written tables."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder; the result survives the loss of executors."""
+    context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="docaudit-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()

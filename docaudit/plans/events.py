@@ -118,8 +118,8 @@ def state_transitions(spark, sf_dir):
 @query("rate_capped_events", f"""with recursive e as (select user_id, event_id, epoch_us(ts) t, row_number()
     over (partition by user_id order by ts, event_id) n from events), w(user_id, event_id, n, t, o, p) as (
     select user_id, event_id, n, t, t, 1 from e where n=1 union all select e.user_id, e.event_id, e.n, e.t,
-    case when e.t>=o+{C.RATE_WINDOW_SECONDS}*20000000 then e.t else o end,
-    case when e.t>=o+{C.RATE_WINDOW_SECONDS}*20000000 then 1 else p+1 end from w join e on
+    case when e.t>=o+{C.RATE_WINDOW_SECONDS * 20_000_000} then e.t else o end,
+    case when e.t>=o+{C.RATE_WINDOW_SECONDS * 20_000_000} then 1 else p+1 end from w join e on
     e.user_id=w.user_id and e.n=w.n+1) select event_id, user_id, p::bigint as position, p<=2 allowed from w""")
 def rate_capped_events(spark, sf_dir):
     """Two per 20 hours, so that the given users, a few events a day each, reach the cap."""

@@ -30,9 +30,9 @@ def alt_quality(alt: Column) -> Column:
     return T.let(T.trim_ws(F.coalesce(alt, F.lit(""))), judge)
 
 
-def provisional_label(alt: Column) -> Column:
+def provisional_label(alt: Column, norm: Column | None = None) -> Column:
     """Pre-label of a cleaned text; other cuts than the served heuristic on purpose."""
-    norm = T.normalize_alt(alt)
+    norm = T.normalize_alt(alt) if norm is None else norm
     blocked = F.array(*map(F.lit, C.BLOCKED_TERMS))
 
     def judge(row: Column) -> Column:

@@ -77,9 +77,9 @@ def normalize_alt(c: Column) -> Column:
     return collapse_ws(F.lower(fold_accents(c)))
 
 
-def group_key(alt: Column, document: Column) -> Column:
+def group_key(alt: Column, document: Column, norm: Column | None = None) -> Column:
     """Same alt, same group; without alt the group is the document."""
-    norm = normalize_alt(F.coalesce(alt, F.lit("")))
+    norm = normalize_alt(F.coalesce(alt, F.lit(""))) if norm is None else norm
     return F.when(norm != "", norm).otherwise(
         F.concat(F.lit(C.NO_ALT_PREFIX), document.cast("string")))
 

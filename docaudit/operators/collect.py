@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docaudit.functions import quality as Q
 from docaudit.functions import text as T
-from docaudit.operators.ordered import first_per_group
+from docaudit.operators.ordered import compute_once, first_per_group
 
 
 @dataclass(frozen=True)
@@ -36,15 +36,15 @@ def archive_candidates(files: DataFrame, source: str = "ambos") -> DataFrame:
         caption = F.lit(None).cast("string")
     has = lambda c: F.coalesce(c != "", F.lit(False))
     first, second = T.clean_archive_text(caption), T.clean_archive_text(description)
-    taken = files.withColumns({
-        "first": first, "second": second, "any_text": has(caption) | has(description)})
+    taken = compute_once(files, first=first, second=second,
+                         any_text=has(caption) | has(description))
     text = F.coalesce("first", "second")
-    return taken.withColumns({
-        "alt": text,
-        "alt_origin": F.when(F.col("first").isNotNull(), "commons/legenda").when(
-            F.col("second").isNotNull(), "commons/descricao"),
-        "group_key": F.when(text.isNotNull(), T.group_key(text, F.col("pageid"))),
-    }).drop("first", "second")
+    origin = F.when(F.col("first").isNotNull(), "commons/legenda").when(
+        F.col("second").isNotNull(), "commons/descricao")
+    return compute_once(
+        taken.withColumns({"alt": text, "alt_origin": origin}),
+        group_key=F.when(text.isNotNull(), T.group_key(text, F.col("pageid")))).drop(
+        "first", "second")
 
 
 def collect_archive(files: DataFrame, limit: int, source: str = "ambos") -> Collection:
@@ -70,12 +70,13 @@ def collect_pages(images: DataFrame, quota: int) -> Collection:
 
     ``idx`` counts the images of a page that carry an alt attribute.
     """
-    cleaned = images.withColumn("text", T.clean_web_text(F.col("alt")))
-    judged = cleaned.withColumn("reason", Q.insufficient_reason(F.col("text")))
+    cleaned = compute_once(images, text=T.clean_web_text(F.col("alt")))
+    judged = compute_once(cleaned, reason=Q.insufficient_reason(F.col("text")),
+                          group_key=T.normalize_alt(F.col("text")))
     rows = judged.withColumn("place", F.struct("page_ord", "idx"))
     found = rows.select(
         "place", "page_ord", "idx", "url", F.col("text").alias("alt"), "reason",
-        F.when(F.col("reason").isNotNull(), T.normalize_alt(F.col("text"))).alias("group_key"))
+        F.when(F.col("reason").isNotNull(), F.col("group_key")).alias("group_key"))
     firsts = first_per_group(found, "group_key", ["place"])
     accepted = firsts.filter("group_key IS NOT NULL").orderBy("place").limit(quota)
     stop = _stop(accepted, "place", quota)

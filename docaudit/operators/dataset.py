@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docaudit import constants as C
 from docaudit.functions import quality as Q
 from docaudit.functions import text as T
-from docaudit.operators.ordered import attach, first_per_group
+from docaudit.operators.ordered import attach, compute_once, first_per_group
 
 ROW = ["format_version", "source", "data_origin", "id", "file", "doc_sha256", "part",
        "image_name", "alt", "alt_origin", "has_alt", "context_before", "context_after",
@@ -53,8 +53,7 @@ def assemble(candidates: DataFrame, provenance: DataFrame) -> DataFrame:
 def archive_rows(accepted: DataFrame, labelled: bool = False) -> DataFrame:
     """Accepted archive files as rows; the pre-label becomes a label only on request."""
     c = F.col
-    provisional = Q.provisional_label(c("alt"))
-    rows = accepted.withColumn("provisional", provisional)
+    rows = compute_once(accepted, provisional=Q.provisional_label(c("alt")))
     extra = {"label": c("provisional"), "label_origin": F.lit("heuristica")} if labelled else {}
     return _row(
         rows, source=F.lit("wikimedia-commons"), id=F.concat(F.lit("commons:"), "pageid"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docaudit import constants as C
 from docaudit.functions import text as T
-from docaudit.operators.ordered import first_per_group, is_small, over_ordered
+from docaudit.operators.ordered import attach, first_per_group, is_small, over_ordered
 from docaudit.session import cut_lineage
 
 EVENT = ("event_id string, correlation_id string, occurred_at timestamp, schema_version int, "
@@ -98,26 +98,37 @@ def transitions(log: DataFrame, spread: Column) -> DataFrame:
 
 
 # ------------------------------------------------------------------------- rate cap
-def _fold(window: int, cap: int, users: str):
-    """Windows of one user's sorted times; jumps from window to window."""
-    def fold(key: tuple, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "event_id"], kind="stable")
-        at = rows["at"].to_numpy(np.int64)
-        opened, position = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-        start, count, i = None, 0, 0
-        if len(state):
-            start, count = int(state["opened"].iloc[0]), int(state["position"].iloc[0])
-        while i < len(at):
-            if start is None or at[i] >= start + window:
-                start, count = int(at[i]), 0
-            j = int(np.searchsorted(at, start + window, side="left"))
-            opened[i:j] = start
-            position[i:j] = count + np.arange(1, j - i + 1)
-            count += j - i
-            i = j
-        return pd.DataFrame({"event_id": rows["event_id"].to_numpy(), users: key[0], "at": at,
-                             "opened": opened, "position": position,
-                             "allowed": position <= cap})
+def _fold(window: int, cap: int, user: str):
+    """Walks rows sorted by user and time, from window to window, in constant memory.
+
+    A user's rows may span batches, so the open window of the last user is kept between them.
+    Rows carry the window that earlier slices left open, or NULL.
+    """
+    def fold(batches):
+        current, start, count = None, None, 0
+        for batch in batches:
+            users, at = batch[user].to_numpy(), batch["at"].to_numpy(np.int64)
+            left = batch["left_open"].to_numpy(dtype=float, na_value=np.nan)
+            opened, position = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+            ends = np.append(np.flatnonzero(users[1:] != users[:-1]) + 1, len(at))
+            i = 0
+            for end in ends if len(at) else ():
+                if users[i] != current:
+                    current, start, count = users[i], None, 0
+                    if not np.isnan(left[i]):
+                        start = int(batch["left_open"].iloc[i])
+                        count = int(batch["left_position"].iloc[i])
+                while i < end:
+                    if start is None or at[i] >= start + window:
+                        start, count = int(at[i]), 0
+                    j = i + int(np.searchsorted(at[i:end], start + window, side="left"))
+                    opened[i:j] = start
+                    position[i:j] = count + np.arange(1, j - i + 1)
+                    count += j - i
+                    i = j
+            yield pd.DataFrame({"event_id": batch["event_id"], user: users, "at": at,
+                                "opened": opened, "position": position,
+                                "allowed": position <= cap})
     return fold
 
 
@@ -153,24 +164,27 @@ def rate_cap(events: DataFrame, user: str, at: Column, cap: int = C.RATE_CAP,
               "position bigint, allowed boolean")
     window = window_seconds * 1_000_000
     slices = _time_slices(times, user, slice_rows) if slices is None else slices
-    state = times.select(user, F.lit(0).cast("bigint").alias("opened"),
-                         F.lit(0).cast("bigint").alias("position")).limit(0)
-    results = []
+    state, results = None, []
     for low, high in slices:
         part = times
         if low is not None:
             part = part.filter(F.col("at") >= low)
         if high is not None:
             part = part.filter(F.col("at") < high)
-        done = part.groupBy(user).cogroup(state.groupBy(user)).applyInPandas(
+        nothing = F.lit(None).cast("bigint")
+        part = (part.withColumns({"left_open": nothing, "left_position": nothing})
+                if state is None else attach(part, state, user, "left"))
+        done = part.repartition(user).sortWithinPartitions(user, "at", "event_id").mapInPandas(
             _fold(window, cap, user), schema)
         if len(slices) > 1:
             done = cut_lineage(done)
             last = done.groupBy(user).agg(F.max_by(
                 F.struct("opened", "position"), F.struct("at", "event_id")).alias("s"))
-            last = last.select(user, "s.*")
-            alive = state.join(last.select(user), user, "left_anti")
-            state = cut_lineage(last.unionByName(alive))
+            last = last.select(user, F.col("s.opened").alias("left_open"),
+                               F.col("s.position").alias("left_position"))
+            if state is not None:
+                last = last.unionByName(state.join(last.select(user), user, "left_anti"))
+            state = cut_lineage(last)
         results.append(done)
     return reduce(DataFrame.unionByName, results)
 

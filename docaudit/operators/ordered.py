@@ -150,6 +150,26 @@ def attach(rows: DataFrame, lookup: DataFrame, on: Sequence[str] | str, how: str
     return salted.join(lookup.withColumn(_S, F.explode(copies)), [*on, _S], how).drop(_S)
 
 
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that whatever reads them will not compute again.
+
+    Filters and projections above are merged into the one below, and an Arrow function in it
+    is then run once for each of them. Nothing is merged across a generator.
+    """
+    value = F.struct(*[c.alias(n) for n, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*df.columns, F.explode(F.array(value)).alias("__once")).select(
+        *kept, "__once.*")
+
+
+def spread_if_few(df: DataFrame) -> DataFrame:
+    """Deal a small table of one file out to all cores; a table of many files has its splits."""
+    size = input_bytes(df)
+    if size is None or not 500_000 < size <= SMALL_INPUT_BYTES or len(df.inputFiles()) > 1:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def keep_present(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column and drop rows where it is NULL, evaluating it once.
 

@@ -181,8 +181,7 @@ def feasible_folds(samples: DataFrame, asked: int = C.FOLDS) -> DataFrame:
     counts = samples.agg(F.count(F.lit(1)).alias("n"), *per_class)
     rare = F.array_min(F.filter(F.array(*C.LABELS), lambda x: x > 0))
     groups = samples.select("group_key").distinct().agg(F.count(F.lit(1)).alias("groups"))
-    both = counts.select("n", rare.alias("rarest"), F.lit(1).alias("k")).join(
-        groups.withColumn("k", F.lit(1)), "k").drop("k")
+    both = counts.select("n", rare.alias("rarest"), groups.scalar().alias("groups"))
     top = F.least(F.lit(asked).cast("bigint"), "groups", F.coalesce("rarest", F.lit(0)))
     reason = (
         F.when(F.col("n") == 0, "nenhuma amostra fora do teste")

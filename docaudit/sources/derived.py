@@ -10,17 +10,20 @@ from pyspark.sql import functions as F
 
 from docaudit.functions import quality as Q
 from docaudit.functions import text as T
-from docaudit.operators.ordered import attach, over_ordered
+from docaudit.operators.ordered import attach, compute_once, over_ordered, spread_if_few
 from docaudit.operators.rules import Facts
 from docaudit.schemas import TABLES
 
 PART = "word/document.xml"
+# Tables whose rows cost far more to compute on than to read.
+TEXT_TABLES = ("documents", "pages", "conversations")
 _LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table by its declared schema, so that planning reads no footers."""
-    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
+    return spread_if_few(rows) if name in TEXT_TABLES else rows
 
 
 def _numbered(lines: DataFrame, name: str) -> DataFrame:
@@ -75,7 +78,7 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(kind == 4, "  ").otherwise(F.col("p_name")))
     target = F.when(F.col("l_suppkey") % 3 != 0, F.concat(F.lit("DOC-"), F.col("l_suppkey")))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    lines = _numbered(table(spark, sf_dir, "lineitem"), "seq")
+    lines = _numbered(spread_if_few(table(spark, sf_dir, "lineitem")), "seq")
     return attach(lines, part, "l_partkey", "inner").select(
         F.col("l_orderkey").alias("doc_id"), F.lit(PART).alias("part"), "seq",
         text.alias("text"), target.alias("target"))
@@ -117,7 +120,9 @@ def alt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(F.col("quality") == 0, "WEAK"))
     labels = table(spark, sf_dir, "labels")
     rows = attach(alt_lines(spark, sf_dir), labels, "doc_id", "left")
-    group = T.group_key(F.col("alt"), F.concat(F.lit("doc-"), d, F.lit(".docx")))
+    norm = F.col("norm")
+    rows = compute_once(rows, norm=T.normalize_alt(F.col("alt")))
+    group = T.group_key(F.col("alt"), F.concat(F.lit("doc-"), d, F.lit(".docx")), norm)
     rows = rows.select(
         (d * 100000 + n).alias("ord"), d.alias("doc_id"),
         F.concat(F.lit("doc-"), d, F.lit(".docx#"), n).alias("id"),
@@ -125,12 +130,12 @@ def alt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((d % 4).isin(1, 2), "wikimedia-commons").when(d % 4 == 3, "web").alias("source"),
         F.when((d % 4 == 3) & (n % 2 == 0), "sintetico_fallback")
         .when(d % 4 == 3, "coletado").alias("data_origin"),
-        group.alias("group_key"),
+        group.alias("group_key"), "norm",
         F.when((d + n) % 3 == 0, human).alias("label"))
     return rows.withColumns({
         "split": T.split_of(F.col("group_key")),
-        "provisional_label": F.when(F.col("alt") != "", Q.provisional_label(F.col("alt"))),
-        "label_origin": F.when(F.col("label").isNotNull(), "humano")})
+        "provisional_label": F.when(F.col("alt") != "", Q.provisional_label(F.col("alt"), norm)),
+        "label_origin": F.when(F.col("label").isNotNull(), "humano")}).drop("norm")
 
 
 def micros(ts):

@@ -6,16 +6,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DOCUMENT = ("arquivo string, url string, orgao string, esfera string, categoria string, "
-            "licenca string, sha256 string, bytes bigint, content_type_declarado string, "
-            "coletado_em string, verificado_em string, partes_xml array<string>, "
-            "midias array<string>")
-FAILURE = ("url string, orgao string, erro string, detalhe map<string,string>, "
-           "observado_em string")
-MANIFEST = f"documentos array<struct<{DOCUMENT}>>, falhas array<struct<{FAILURE}>>".replace(
-    " string", ": string").replace(" bigint", ": bigint").replace(" array<string>",
-    ": array<string>").replace(" map<", ": map<").replace("documentos array", "documentos: array"
-    ).replace("falhas array", "falhas: array")
+MANIFEST = """
+    documentos array<struct<arquivo: string, url: string, orgao: string, esfera: string,
+        categoria: string, licenca: string, sha256: string, bytes: bigint,
+        content_type_declarado: string, coletado_em: string, verificado_em: string,
+        partes_xml: array<string>, midias: array<string>>>,
+    falhas array<struct<url: string, orgao: string, erro: string, detalhe: map<string, string>,
+        observado_em: string>>"""
 
 
 class CorpusError(ValueError):
@@ -24,7 +21,7 @@ class CorpusError(ValueError):
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(documents, failures), each with one row per url."""
-    raw = spark.read.schema(f"struct<{MANIFEST}>").option("multiLine", True).json(path)
+    raw = spark.read.schema(MANIFEST).option("multiLine", True).json(path)
     documents = raw.select(F.inline("documentos"))
     failures = raw.select(F.inline("falhas")).filter("url IS NOT NULL")
     return documents, failures

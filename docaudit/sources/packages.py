@@ -271,6 +271,7 @@ def shred(packages: DataFrame, materialize: bool = True) -> tuple[DataFrame, Dat
 def write_packages(parts: DataFrame) -> DataFrame:
     """(doc_id, parts: array of (name, xml)) to (doc_id, content): one zip per row."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, contents = [], []
         for batch in batches:
             for doc, entries in zip(batch["doc_id"], batch["parts"]):
                 target = io.BytesIO()
@@ -278,7 +279,13 @@ def write_packages(parts: DataFrame) -> DataFrame:
                     for entry in entries:
                         if entry["xml"] is not None:
                             package.writestr(entry["name"], entry["xml"])
-                yield pd.DataFrame({"doc_id": [doc], "content": [target.getvalue()]})
+                ids.append(doc)
+                contents.append(target.getvalue())
+                if len(ids) >= 256 or len(contents[-1]) > 1 << 22:
+                    yield pd.DataFrame({"doc_id": ids, "content": contents})
+                    ids, contents = [], []
+        if ids:
+            yield pd.DataFrame({"doc_id": ids, "content": contents})
     kind = dict(parts.dtypes)["doc_id"]
     return parts.mapInPandas(run, f"doc_id {kind}, content binary")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docaudit.functions import quality as Q
 from docaudit.functions import text as T
 from docaudit.operators.ordered import compute_once, first_per_group
+from docaudit.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -49,7 +50,7 @@ def archive_candidates(files: DataFrame, source: str = "ambos") -> DataFrame:
 
 def collect_archive(files: DataFrame, limit: int, source: str = "ambos") -> Collection:
     """Distinct texts in order up to the limit, and why visited files were left out."""
-    rows = archive_candidates(files, source)
+    rows = cut_lineage(archive_candidates(files, source))
     firsts = first_per_group(rows, "group_key", ["ord"]).filter("group_key IS NOT NULL")
     accepted = firsts.orderBy("ord").limit(limit)
     stop = _stop(accepted, "ord", limit)
@@ -73,7 +74,8 @@ def collect_pages(images: DataFrame, quota: int) -> Collection:
     cleaned = compute_once(images, text=T.clean_web_text(F.col("alt")))
     judged = compute_once(cleaned, reason=Q.insufficient_reason(F.col("text")),
                           group_key=T.normalize_alt(F.col("text")))
-    rows = judged.withColumn("place", F.struct("page_ord", "idx"))
+    # Parsed and judged once; what follows reads the result several times.
+    rows = cut_lineage(judged.withColumn("place", F.struct("page_ord", "idx")))
     found = rows.select(
         "place", "page_ord", "idx", "url", F.col("text").alias("alt"), "reason",
         F.when(F.col("reason").isNotNull(), F.col("group_key")).alias("group_key"))

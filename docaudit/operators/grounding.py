@@ -102,9 +102,11 @@ def prompt_blocks(findings: DataFrame, questions: DataFrame | None = None,
         return T.envelope(label, text, nonce)
 
     c = F.col
-    numbered = over_ordered(sanitized_findings(findings).withColumn(
-        "__h", F.xxhash64("rule_id", "evidence")), ["doc_id"],
-        ["rule_id", "evidence", "__h"], F.lit(0), number="position")
+    # Hash order is total up to equal findings, and cuts a document with very many of them.
+    numbered = over_ordered(
+        sanitized_findings(findings).withColumn("__h", F.sha2(F.concat_ws(
+            "/", "rule_id", "evidence"), 256)), ["doc_id"], ["__h"],
+        F.conv(F.left("__h", F.lit(8)), 16, 10), number="position")
     intro = CONVERSATION_INSTRUCTION if history is not None else INSTRUCTION
     docs = findings.select("doc_id").distinct()
     blocks = docs.select("doc_id", F.lit(0).alias("section"), F.lit(0).cast("bigint").alias(

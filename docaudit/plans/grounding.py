@@ -102,7 +102,7 @@ def sanitized_findings(spark, sf_dir):
     select distinct doc_id from findings) union all select doc_id, 1, n, concat('- ', rule_id, ' (',
     criterion, ', severidade ', severity, ')', chr(10), '<<EVIDENCIA:', s, '>>', chr(10), evidence, chr(10),
     '<</EVIDENCIA:', s, '>>') from (select *, left(sha256(concat('t/', doc_id, '/', n)), 16) s from (
-    select *, row_number() over (partition by doc_id order by rule_id, evidence) n from findings))
+    select *, row_number() over (partition by doc_id order by sha256(concat(rule_id, '/', evidence))) n from findings))
     """.format(G.INSTRUCTION.replace("'", "''")), "findings"))
 def prompt_blocks(spark, sf_dir):
     return G.prompt_blocks(_findings(spark, sf_dir), seed="t")

@@ -14,7 +14,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, value): every line with its number, blank ones counted.
 
     Ids rise along a file block, so a line's number is its distance from the first line of
-    its block plus the lines of the blocks before. Only one row per block is shuffled.
+    its block plus the lines of the blocks before. The numbers need one row per file block.
     """
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"),

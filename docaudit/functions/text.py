@@ -20,6 +20,9 @@ from docaudit import constants as C
 
 # Whitespace as Unicode text code strips it: White_Space plus the four separators.
 _WS = r"\p{IsWhite_Space}\x1c-\x1f"
+_WS_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680,
+                              *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -29,7 +32,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def trim_ws(c: Column) -> Column:
     """Strip any Unicode whitespace at both ends (``trim`` only knows U+0020)."""
-    return F.regexp_replace(c, f"^[{_WS}]+|[{_WS}]+$", "")
+    return F.btrim(c, F.lit(_WS_CHARS))
 
 
 def collapse_ws(c: Column) -> Column:
@@ -97,7 +100,7 @@ def split_of(key: Column) -> Column:
 
 def normalize_link(c: Column) -> Column:
     """Link text without accents, case, end punctuation or repeated spaces."""
-    bare = F.regexp_replace(F.lower(fold_accents(c, "NFD")), r"\p{Punct}+$", "")
+    bare = F.rtrim(F.lower(fold_accents(c, "NFD")), F.lit(_ASCII_PUNCTUATION))
     return trim_ws(F.regexp_replace(bare, r"\s+", " "))
 
 

@@ -251,7 +251,7 @@ def test_merge_is_idempotent_and_gates_are_ordered(spark):
 
 
 @pytest.mark.parametrize("fault, broken", [
-    ({"id": "'same'"}, {"A4 ids duplicados"}),
+    ({"id": "if(ord = 3, 'id4', id)"}, {"A4 ids duplicados"}),
     ({"provisional_label": "if(ord = 3, 'SUFFICIENT', provisional_label)"},
      {"D1 rotulos dentro do enum canonico", "D1 nenhum SUFFICIENT sobrevivente", "C1 fila com o total",
       "C2 nenhuma classe devendo cota"}),

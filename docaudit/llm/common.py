@@ -45,3 +45,14 @@ def once(column: Column) -> Column:
     """The column behind a generator: a later filter on it can't be pushed below and so repeat
     its expression, which inside a lambda would mean once per element."""
     return F.explode(F.array(column))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which adaptive execution can split a key that holds many rows of ``left``.
+
+    It splits only what the join itself shuffles. A side that was just grouped by the same keys
+    would not be shuffled again, so a hash of the keys goes along as one key more.
+    """
+    h = fresh(left, fresh(right, "__h"))
+    a, b = left.withColumn(h, F.hash(*keys)), right.withColumn(h, F.hash(*keys))
+    return a.join(b, [*keys, h], how).drop(h)

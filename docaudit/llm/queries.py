@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm import lines
+from docaudit.llm import lines, simhash
 from docaudit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,10 @@ counts as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, '
 failed as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from counts)
 select *, not base_failed and words_removed <= 0.5 * n_words as kept from failed
 """
+
+
+@query
+def op7_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                        F.col("component").alias("component_id"))

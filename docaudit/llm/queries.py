@@ -6,8 +6,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm import lines, simhash
-from docaudit.llm.common import table
+from docaudit.llm import lines, simhash, urls, warc
+from docaudit.llm.common import table, written
+from docaudit.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +61,36 @@ def op7_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                         F.col("component").alias("component_id"))
+
+
+#: The contract's rules.
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+@query
+def op9_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
+
+
+@query
+def op5_warc_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    pages = table(spark, sf_dir, "pages")
+    warc.write_archives(pages, folder)
+    index = written(warc.index_archives(spark, folder), "warc-index")
+    read = warc.read_records(index, payloads=False)
+    key = pages.schema["page_id"].dataType
+    return read.select(F.col("id").cast(key).alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
+                       F.col("type").alias("record_type"), F.col("refers_to").cast(key).alias("refers_to"))
+
+
+ORACLES["op5_warc_by_index"] = """
+with page as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes,
+    sha1(coalesce(html, '')) as payload_digest from pages),
+best as (select payload_digest, max(page_id) as best from page where payload_bytes >= 1000 group by 1)
+select page_id, payload_bytes, payload_digest,
+    case when page_id < best then 'revisit' else 'response' end as record_type,
+    case when page_id < best then best end as refers_to
+from page left join best using (payload_digest)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm import lines, simhash, urls, warc
+from docaudit.llm import lines, machine, secrets, simhash, urls, warc
 from docaudit.llm.common import table, written
 from docaudit.session import new_folder
 
@@ -94,3 +94,18 @@ select page_id, payload_bytes, payload_digest,
     case when page_id < best then best end as refers_to
 from page left join best using (payload_digest)
 """
+
+
+@query
+def op3_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("id").cast("string")) % 5 == 0
+    model = machine.train(docs, labels, learn=~held_out)
+    return machine.score(docs, model).select(
+        F.col("id").alias("doc_id"), held_out.alias("held_out"), "score",
+        (F.col("score") >= machine.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

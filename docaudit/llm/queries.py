@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm import lines, machine, secrets, simhash, urls, warc
+from docaudit.llm import decontaminate, lines, machine, mixing, secrets, simhash, urls, warc
 from docaudit.llm.common import table, written
 from docaudit.session import new_folder
 
@@ -109,3 +109,16 @@ def op3_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "cover", "exact")
+
+
+@query
+def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    shares = [F.col("p")[k].alias(f"p_{name}") for k, name in enumerate(mixing.DOMAINS)]
+    return mixed.select(F.col("id").alias("doc_id"), "tokens", *shares, "rate", "copies")

@@ -7,7 +7,7 @@ totals match the targets, by projected gradient on the least squares distance. A
 documents only the K sums of rate * n * p_k, one small aggregate, and moves every rate by the same
 K numbers: rate = max(0, rate - p . g). So the rates never leave the executors, and after t steps they are
 a fixed expression of p and t vectors of K numbers. Gradients are taken in the metric in which rates weigh
-as their tokens and residuals as the inverse of their Gram matrix (K by K); there a step of one is stable.
+as their tokens, and residuals as the inverse of the K by K Gram matrix of the rates above zero.
 
 The classifier learns from a bounded sample (``LEARN_ROWS``). Null ids and labels are not learned from.
 Null and empty texts have no tokens; their rate is fitted like others' and moves no total. Repeated rows
@@ -30,7 +30,7 @@ from docaudit.llm.features import SIZE, Extractor, chosen_labels, learning_rows
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = (0.92, 0.05, 0.03)
 LEARN_ROWS = 12_000
-EPOCHS, BATCH, RATE, DECAY = 6, 256, 0.05, 1e-4
+EPOCHS, BATCH, RATE, DECAY = 12, 256, 1.0, 1e-6
 STEPS, TOLERANCE = 40, 1e-5
 
 
@@ -103,26 +103,33 @@ def _rate(steps: Sequence[np.ndarray]) -> Column:
 
 
 def fit_rates(members: DataFrame, targets: Sequence[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], np.ndarray]:
-    """Steps of the projected gradient, and the shares of all tokens the domains have after them."""
+    """Steps of the projected gradient, and the shares of all tokens the domains have after them.
+
+    If a step takes the shares further from the targets than they were, half of it is tried instead.
+    """
     k = len(targets)
     weight = np.array(targets, np.float64) / sum(targets)
-    first = members.agg(F.sum("tokens").alias("n"), *[
-        F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    if not first["n"]:
+    total = members.agg(F.sum("tokens")).first()[0]
+    if not total:
         return [], np.zeros(k)
-    total, gram = float(first["n"]), np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            gram[i, j] = gram[j, i] = first[f"g{i}_{j}"] / total
-    metric = np.linalg.inv(gram + 1e-9 * np.eye(k))
+    part = lambda i: F.col("tokens") * F.col("p")[i]
+    free = F.when(F.col("rate") > 0, 1.0).otherwise(0.0)
+    wanted = [F.sum(F.col("rate") * part(i)) for i in range(k)] + [
+        F.sum(free * part(i) * F.col("p")[j]) for i in range(k) for j in range(k)]
     moves: list[np.ndarray] = []
-    while True:
-        sums = members.select("tokens", "p", _rate(moves).alias("rate")).agg(
-            *[F.sum(F.col("rate") * F.col("tokens") * F.col("p")[i]) for i in range(k)]).first()
-        shares = np.array(sums, np.float64) / total
-        if len(moves) == steps or np.abs(shares - weight).max() < tolerance:
-            return moves, shares
-        moves.append(metric @ (shares - weight))
+    best = np.inf
+    for _ in range(steps):
+        found = np.array(members.select("tokens", "p", _rate(moves).alias("rate")).agg(*wanted).first(), np.float64) / float(total)
+        shares, gram = found[:k], found[k:].reshape(k, k)
+        gap = float(np.abs(shares - weight).max())
+        if gap < tolerance:
+            break
+        if moves and gap > best:
+            moves[-1] = moves[-1] / 2
+            continue
+        best = gap
+        moves.append(np.linalg.solve(gram + 1e-9 * np.eye(k), shares - weight))
+    return moves, shares
 
 
 def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars",

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm import decontaminate, lines, machine, mixing, secrets, simhash, urls, warc
+from docaudit.llm import decontaminate, lines, machine, mixing, pii, secrets, simhash, urls, warc
 from docaudit.llm.common import table, written
 from docaudit.session import new_folder
 
@@ -122,3 +122,14 @@ def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     shares = [F.col("p")[k].alias(f"p_{name}") for k, name in enumerate(mixing.DOMAINS)]
     return mixed.select(F.col("id").alias("doc_id"), "tokens", *shares, "rate", "copies")
+
+
+#: The key of these queries. A deployment passes its own and keeps it secret.
+PSEUDONYM_KEY = "docaudit pseudonyms, demonstration key"
+
+
+@query
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return found.select("doc_id", F.col("pii.text").alias("text"), *[
+        F.col("pii")[f"n_{kind}"].alias(f"n_{kind}") for kind, _ in pii.KINDS])

@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", chu
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that name their class: one document of each, that with the smallest id.
-    Rows with a null id stay, and so do repeated rows of the kept id only once each."""
+    Rows with a null id stay, and so do all rows that repeat the kept id."""
     root, key = fresh(docs, "__root"), fresh(docs, "__key")
     gone = near_duplicates(docs, id, text).filter("id != component").select(
         F.col("id").alias(key), F.lit(True).alias(root)).distinct()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm import decontaminate, lines, machine, mixing, pii, secrets, simhash, urls, warc
+from docaudit.llm import decontaminate, lines, machine, mixing, pii, repeats, secrets, simhash, urls, warc
 from docaudit.llm.common import table, written
 from docaudit.session import new_folder
 
@@ -133,3 +133,9 @@ def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
     return found.select("doc_id", F.col("pii.text").alias("text"), *[
         F.col("pii")[f"n_{kind}"].alias(f"n_{kind}") for kind, _ in pii.KINDS])
+
+
+@query
+def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -1,6 +1,6 @@
 """Web archives, read by index.
 
-*Writing.* Every task of one shuffle writes one archive of plain records; equal payloads of at least
+*Writing.* Every task writes one archive of plain records; equal payloads of at least
 ``MIN_SHARED`` bytes are stored once, by the record with the largest id, and the others revisit it.
 *Index.* A pass over the archives that reads record headers only and skips from one to the next by
 their length writes a table: archive, offset, length, url, digest, type.
@@ -23,12 +23,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm.common import spread_join, text_of
+from docaudit.llm.common import spread_join, text_of, written
 
 MIN_SHARED = 1000
 END = "\r\n\r\n"
 #: Ranges closer than GAP are read at once, up to READ bytes or one record.
 GAP, READ = 64 * 1024, 4 * 1024 * 1024
+#: Up to so many revisits (about 60 bytes each) are broadcast to the pages; more are joined by a shuffle.
+BROADCAST_ROWS = 400_000
 #: Index rows of one archive are dealt out by stretches of so many bytes.
 STRETCH = 16 * 1024 * 1024
 INDEX = "archive string, offset bigint, length bigint, url string, digest string, type string"
@@ -42,7 +44,11 @@ def records(pages: DataFrame, id: str = "page_id", url: str = "url", payload: st
     large = page.select("id", "digest").filter((F.col("bytes") >= MIN_SHARED) & F.col("id").isNotNull())
     shared = large.groupBy("digest").agg(F.max("id").alias("refers_to"), F.min("id").alias("other")).filter("other < refers_to")
     revisits = spread_join(large, shared.drop("other"), ["digest"]).filter("id < refers_to").distinct()
-    page = spread_join(page, revisits, ["id", "digest"], "left")
+    revisits = written(revisits, "revisits")
+    if revisits.count() <= BROADCAST_ROWS:  # then payloads aren't shuffled
+        page = page.join(F.broadcast(revisits), ["id", "digest"], "left")
+    else:
+        page = spread_join(page, revisits, ["id", "digest"], "left")
     again = F.col("refers_to").isNotNull()
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit("\r\n"))
     name = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))

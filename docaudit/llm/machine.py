@@ -24,7 +24,9 @@ from docaudit.llm.features import SIZE, Extractor, chosen_labels, learning_rows
 #: At most about so many labelled rows are learned from.
 LEARN_ROWS = 20_000
 FACTORS = 8
+#: Passes over the sample; more for a small one, so that at least STEPS batches are seen.
 EPOCHS = 6
+STEPS = 500
 BATCH = 256
 RATE = 0.02
 DECAY = 1e-4
@@ -59,7 +61,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], size: int = SIZE, seed:
     theta = np.concatenate((model.w[:, None], model.v), axis=1)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, STEPS * BATCH // max(BATCH, len(rows)))):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             batch = [rows[i] for i in order[at:at + BATCH]]

@@ -30,7 +30,8 @@ from docaudit.llm.features import SIZE, Extractor, chosen_labels, learning_rows
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = (0.92, 0.05, 0.03)
 LEARN_ROWS = 12_000
-EPOCHS, BATCH, RATE, DECAY = 12, 256, 1.0, 1e-6
+#: Passes over the sample; more for a small one, so that at least LEAST batches are seen.
+EPOCHS, LEAST, BATCH, RATE, DECAY = 12, 500, 256, 1.0, 1e-6
 STEPS, TOLERANCE = 40, 1e-5
 
 
@@ -47,7 +48,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], domains: int, size: int
     y = np.array([r[0] for r in rows])
     theta[-1] = np.log(np.bincount(y, minlength=domains) + 1.0)
     rng, square = np.random.default_rng(seed), np.full_like(theta, 1e-6)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, LEAST * BATCH // max(BATCH, len(rows)))):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             batch = [rows[i] for i in order[at:at + BATCH]]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docaudit import constants as C
 from docaudit.functions import text as T
-from docaudit.operators.ordered import attach, first_per_group, is_small, over_ordered
+from docaudit.operators.ordered import attach, first_per_group, over_ordered
 from docaudit.session import cut_lineage
 
 EVENT = ("event_id string, correlation_id string, occurred_at timestamp, schema_version int, "
@@ -35,10 +35,19 @@ def parse_events(raw: DataFrame, value: Column) -> DataFrame:
         F.col(n).isNotNull() for n in REQUIRED]))
 
 
-def unprocessed(events: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Events that the ledger does not know, one row per id."""
-    return events.dropDuplicates(["event_id"]).join(
-        ledger.select("event_id").distinct(), "event_id", "left_anti")
+def unprocessed(events: DataFrame, ledger: DataFrame, states: DataFrame | None = None,
+                at: str | None = None) -> DataFrame:
+    """Events that the ledger does not know, one row per id, the first by arrival if ``at`` names it.
+
+    With states(analysis_id, state) events of a finished analysis are left out: they go to the ledger
+    without being worked on.
+    """
+    first = first_per_group(events, "event_id", [at]) if at else events.dropDuplicates(["event_id"])
+    fresh = first.join(ledger.select("event_id").distinct(), "event_id", "left_anti")
+    if states is None:
+        return fresh
+    done = states.filter(F.col("state").isin(*C.TERMINAL_STATES)).select("analysis_id").distinct()
+    return fresh.join(done, "analysis_id", "left_anti")
 
 
 def failure_route(error_class: Column) -> Column:
@@ -86,15 +95,34 @@ def register_dead_letters(failed: DataFrame, known: DataFrame, states: DataFrame
     return DeadLetters(letters, updated, ledger)
 
 
-def transitions(log: DataFrame, spread: Column) -> DataFrame:
-    """log(analysis_id, event_id, ts, state) with the state before and what the step is."""
-    rows = over_ordered(log, ["analysis_id"], ["ts", "event_id"], spread,
-                        previous={"before": ("state", None)})
-    legal = reduce(lambda a, b: a | b, [
-        (F.col("before") == x) & (F.col("state") == y) for x, y in C.TRANSITIONS])
-    kind = (F.when(F.col("before").isNull(), "primeira").when(legal, "legal")
-            .otherwise("ilegal"))
-    return rows.withColumn("kind", kind)
+def transitions(log: DataFrame) -> DataFrame:
+    """log(analysis_id, event_id, ts, state) with the state before each step and what the step is.
+
+    An analysis begins with its first RECEBIDA. A step that the graph does not allow is refused and
+    changes nothing. The graph has no cycle, so at most three steps of an analysis are accepted; each
+    is a minimum over the rows after the one before, and no group is ever put in order.
+    """
+    place = F.struct("ts", "event_id")
+    log = log.withColumn("__at", place)
+    state, at = F.col("state"), F.col("__at")
+
+    def accepted(rows: DataFrame, allowed: Column, name: str) -> DataFrame:
+        found = rows.filter(allowed).groupBy("analysis_id").agg(F.min(F.struct("__at", "state")).alias(name))
+        return rows.join(found, "analysis_id", "left")
+
+    def follows(name: str) -> Column:
+        return reduce(lambda a, b: a | b, [
+            (F.col(f"{name}.state") == x) & (state == y) for x, y in C.TRANSITIONS]) & (at > F.col(f"{name}.__at"))
+
+    rows = accepted(log, state == "RECEBIDA", "__s0")
+    rows = accepted(rows, follows("__s0"), "__s1")
+    rows = accepted(rows, follows("__s1"), "__s2")
+    before = F.lit(None).cast("string")
+    kind = F.lit("ilegal")
+    for name, what in (("__s0", "primeira"), ("__s1", "legal"), ("__s2", "legal")):
+        before = F.when(at > F.col(f"{name}.__at"), F.col(f"{name}.state")).otherwise(before)
+        kind = F.when(at == F.col(f"{name}.__at"), what).otherwise(kind)
+    return rows.withColumns({"before": before, "kind": kind}).drop("__at", "__s0", "__s1", "__s2")
 
 
 # ------------------------------------------------------------------------- rate cap
@@ -133,19 +161,18 @@ def _fold(window: int, cap: int, user: str):
 
 
 def _time_slices(times: DataFrame, user: str, rows: int) -> list[tuple[int | None, int | None]]:
-    """Cuts in time so that no user has more than about ``rows`` events between two of them."""
-    if is_small(times):
+    """Cuts in time so that no user has more than about ``rows`` events between two of them.
+
+    Only users with more events than that need cuts: the quantiles of their own times.
+    """
+    busy = times.groupBy(user).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows)
+    parts = busy.agg(F.max("n")).first()[0]
+    if parts is None:
         return [(None, None)]
-    minute = 60_000_000
-    per_minute = times.groupBy(user, F.floor(F.col("at") / minute).alias("m")).agg(
-        F.count(F.lit(1)).alias("n")).groupBy("m").agg(F.max("n").alias("n"))
-    # One row per minute of the log, however many events it has.
-    cuts, total = [], 0
-    for m, n in per_minute.orderBy("m").collect():
-        if total and total + n > rows:
-            cuts.append(m * minute)
-            total = 0
-        total += n
+    fractions = [i * rows / parts for i in range(1, -(-parts // rows))]
+    cuts = times.join(busy.select(user), user, "left_semi").groupBy(user).agg(
+        F.percentile_approx("at", fractions, 10 * len(fractions)).alias("cuts")).select(F.explode("cuts")).distinct()
+    cuts = sorted(r[0] for r in cuts.collect())
     return list(zip([None, *cuts], [*cuts, None]))
 
 
@@ -192,17 +219,18 @@ def rate_cap(events: DataFrame, user: str, at: Column, cap: int = C.RATE_CAP,
 # --------------------------------------------------------------------------- budget
 def budget_gate(calls: DataFrame, month: Column, spread: Column, cost: str = "cost_cents",
                 cap: int = C.MONTHLY_BUDGET_CENTS) -> DataFrame:
-    """Blocked once the month's earlier calls reached the cap; non-positive costs add nothing.
+    """Blocked once the month's accepted calls reached the cap; non-positive costs add nothing.
 
-    Only accepted calls are paid. Totals never fall, so the sum over all earlier calls passes
-    the cap exactly when the sum over the accepted ones does.
+    Totals never fall, so the sum over all earlier calls passes the cap exactly when the sum over the
+    accepted ones does. From there on the spent total stands still at the first one that reached it.
     """
     paid = F.greatest(F.col(cost), F.lit(0))
     rows = over_ordered(calls.withColumns({"month": month, "paid": paid}), ["month"],
                         ["ts", "event_id"], spread, running={"upto": F.col("paid")})
+    reached = rows.groupBy("month").agg(F.min(F.when(F.col("upto") >= cap, F.col("upto"))).alias("reached"))
     before = F.col("upto") - F.col("paid")
-    return rows.withColumns({"spent_before": before, "blocked": before >= cap}).drop(
-        "upto", "paid")
+    return rows.join(reached, "month").withColumns(
+        {"spent_before": F.least(before, "reached"), "blocked": before >= cap}).drop("upto", "paid", "reached")
 
 
 # --------------------------------------------------------------------------- outbox

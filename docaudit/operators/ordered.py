@@ -1,10 +1,10 @@
-"""Ordered passes over groups of any size, and joins that stay balanced.
+"""Ordered passes over groups of any size.
 
 ``row_number``, ``lag`` and running sums need the rows of a group in order. A plain window
-sends a group to one task, which is right for the many small groups and wrong for the few
-that hold a large share of the table. Here the few are found first (one sketch over the key
-column), cut into blocks along the order, and each block is one window partition; a summary
-with one row per block, at most HOT_KEYS x BLOCKS rows, carries numbers across the cuts.
+sends a group to one task, which is right for the many small groups and wrong for those that
+hold millions of rows. These are counted first, exactly, whatever the input's size; each is cut
+into blocks along the order, each block is one window partition, and a summary with one row per
+block carries numbers across the cuts.
 """
 from __future__ import annotations
 
@@ -14,45 +14,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-HOT_KEYS = 64
 BLOCKS = 256
 HOT_ROWS = 2_000_000
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
-_H, _B, _N, _S = "__hash", "__block", "__in_block", "__salt"
-
-
-def input_bytes(df: DataFrame) -> int | None:
-    """Bytes of the leaves of the plan, by Spark's own statistics; None when unknown."""
-    try:
-        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes()))
-                   for i in range(leaves.size()))
-    except Exception:  # no classic session behind this DataFrame
-        return None
-
-
-def is_small(df: DataFrame) -> bool:
-    size = input_bytes(df)
-    return size is not None and size <= SMALL_INPUT_BYTES
+_H, _B, _N = "__hash", "__block", "__in_block"
 
 
 def _hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> list[int]:
-    """Hashes of the keys with more than ``rows`` rows, at most HOT_KEYS of them.
-
-    Small inputs cannot hold such a key and cost nothing; else one scan of the key columns
-    feeds a frequent-items sketch. A miss costs balance, never correctness.
-    """
-    if is_small(df):
-        return []
-    if not keys:
-        return [0]
-    found = df.select(_hash(keys).alias(_H)).agg(
-        F.expr(f"approx_top_k({_H}, {HOT_KEYS}, {HOT_KEYS * 100})").alias("top")).first()["top"]
-    return [item["item"] for item in found or [] if item["count"] >= rows]
+def hot_keys(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> list[int]:
+    """Hashes of all keys with at least ``rows`` rows: a two-millionth of the rows at most."""
+    counts = df.select(_hash(keys).alias(_H)).groupBy(_H).agg(F.count(F.lit(1)).alias("n"))
+    return [r[_H] for r in counts.filter(F.col("n") >= (rows or HOT_ROWS)).collect()]
 
 
 def over_ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], spread: Column, *,
@@ -92,7 +66,7 @@ def _blocked(df, keys, order, spread, number, running, previous) -> DataFrame:
     df = df.withColumn("__spread", spread.cast("double"))
     # The cuts are literal values: a recomputed task sees the same blocks.
     fractions = [(i + 1) / BLOCKS for i in range(BLOCKS - 1)]
-    cuts = [(row[_H], sorted(set(row["cuts"]))) for row in df.groupBy(_H).agg(
+    cuts = [(row[_H], sorted(set(row["cuts"] or []))) for row in df.groupBy(_H).agg(
         F.percentile_approx("__spread", fractions, 10 * BLOCKS).alias("cuts")).collect()]
     cut_rows = spark.createDataFrame(cuts, f"{_H} bigint, __cuts array<double>")
     df = (df.join(F.broadcast(cut_rows), _H)
@@ -116,8 +90,7 @@ def _blocked(df, keys, order, spread, number, running, previous) -> DataFrame:
         {_N: F.row_number().over(inside)}
         | {f"__in_{n}": F.sum(v).over(upto) for n, v in running.items()}
         | {f"__lag_{n}": F.lag(v, 1).over(inside) for n, (v, _) in previous.items()})
-    # At most HOT_KEYS x BLOCKS rows by construction.
-    joined = rows.join(F.broadcast(carried), [*keys, _H, _B])
+    joined = rows.join(carried, [*keys, _H, _B])
     new = {}
     for n in running:
         both = F.coalesce(f"__sum_{n}", F.lit(0)) + F.coalesce(f"__in_{n}", F.lit(0))
@@ -132,22 +105,13 @@ def _blocked(df, keys, order, spread, number, running, previous) -> DataFrame:
     return joined.withColumns(new).select(*kept, *new)
 
 
-def attach(rows: DataFrame, lookup: DataFrame, on: Sequence[str] | str, how: str = "left",
-           salts: int = 64) -> DataFrame:
-    """Equi-join rows with a lookup; keys that hold many rows are salted on both sides."""
+def attach(rows: DataFrame, lookup: DataFrame, on: Sequence[str] | str, how: str = "left") -> DataFrame:
+    """Equi-join whose key types may differ; adaptive execution splits keys with many rows."""
     on = [on] if isinstance(on, str) else list(on)
     for key in on:
         if rows.schema[key].dataType != lookup.schema[key].dataType:
             lookup = lookup.withColumn(key, F.col(key).cast(rows.schema[key].dataType))
-    hot = hot_keys(rows, on)
-    if not hot:
-        return rows.join(lookup, on, how)
-    plain = [c for c, t in rows.dtypes if not t.startswith("map")]
-    is_hot = F.xxhash64(*on).isin(hot)
-    salted = rows.withColumn(_S, F.when(
-        is_hot, F.pmod(F.xxhash64(*plain), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return salted.join(lookup.withColumn(_S, F.explode(copies)), [*on, _S], how).drop(_S)
+    return rows.join(lookup, on, how)
 
 
 def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -162,10 +126,9 @@ def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
         *kept, "__once.*")
 
 
-def spread_if_few(df: DataFrame) -> DataFrame:
-    """Deal a small table of one file out to all cores; a table of many files has its splits."""
-    size = input_bytes(df)
-    if size is None or not 500_000 < size <= SMALL_INPUT_BYTES or len(df.inputFiles()) > 1:
+def spread_if_one_file(df: DataFrame) -> DataFrame:
+    """Deal a table of one file out to all cores; a table of many files has its splits."""
+    if len(df.inputFiles()) > 1:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
@@ -196,9 +159,10 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence, n: int,
 def longest_run(df: DataFrame, keys: Sequence[str], order: Sequence[str], spread: Column,
                 label: str) -> DataFrame:
     """Length of the longest run of equal labels per group, in order."""
-    stepped = over_ordered(df, keys, order, spread, previous={"__before": (label, None)})
+    hot = hot_keys(df, keys)
+    stepped = over_ordered(df, keys, order, spread, previous={"__before": (label, None)}, hot=hot)
     starts = F.when(F.col("__before").eqNullSafe(F.col(label)), 0).otherwise(1)
     runs = over_ordered(stepped.withColumn("__start", starts), keys, order, spread,
-                        running={"__run": F.col("__start")})
+                        running={"__run": F.col("__start")}, hot=hot)
     sizes = runs.groupBy(*keys, "__run").agg(F.count(F.lit(1)).alias("__size"))
     return sizes.groupBy(*keys).agg(F.max("__size").alias("longest_run"))

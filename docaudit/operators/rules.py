@@ -58,8 +58,9 @@ def tables_without_header(facts: Facts) -> DataFrame:
 
 def heading_jumps(facts: Facts) -> DataFrame:
     """A level more than one below the previous heading; going up is never a jump."""
-    rows = over_ordered(facts.headings, ["doc_id"], ["seq"], F.col("seq"),
-                        previous={"before": ("level", 0)})
+    rows = facts.headings
+    if "before" not in rows.columns:  # a source that numbered its headings may have looked back already
+        rows = over_ordered(rows, ["doc_id"], ["seq"], F.col("seq"), previous={"before": ("level", 0)})
     level, before = F.col("level").cast("string"), F.col("before").cast("string")
     origin = F.when(F.col("before") == 0, F.concat(
         F.lit("o primeiro titulo do documento e H"), level, F.lit(", e nao H1"))).otherwise(

@@ -103,18 +103,19 @@ def present_labels(samples: DataFrame) -> list[str]:
 
 
 def fit(train: DataFrame, labels: Sequence[str], c: float = 1.0, min_df: int = 2,
-        max_iter: int = 2000, vocabulary_size: int = 1 << 20) -> Model:
+        max_iter: int = 2000) -> Model:
     """TF-IDF of words and characters, then multinomial logistic regression.
 
     ``c`` weighs the summed loss, Spark's ``regParam`` the mean one: regParam = 1 / (c n).
-    Class weights are balanced. The vocabulary lives on the driver, hence its size parameter.
+    Class weights are balanced. The vocabulary is that of the labelled rows, all of it, and lives on
+    the driver.
     """
     # Spread small inputs too: the solver passes over these rows many times.
     rows = _terms(train.repartition("id")).persist()
     try:
         vocabularies = {n: CountVectorizer(
             inputCol=f"{n}_terms", outputCol=f"{n}_counts", minDF=float(min_df),
-            vocabSize=vocabulary_size).fit(rows) for n in _BLOCKS}
+            vocabSize=(1 << 31) - 1).fit(rows) for n in _BLOCKS}
         counted = _weighted(rows, vocabularies)
         scales = {n: [1.0 + float(x) for x in IDF(
             inputCol=f"{n}_counts", outputCol="unused").fit(counted).idf.toArray()]
@@ -279,15 +280,14 @@ class Training:
     verdict: DataFrame
 
 
-def train_and_evaluate(samples: DataFrame, c: float = 1.0, min_df: int = 2, max_iter: int = 2000,
-                       vocabulary_size: int = 1 << 20) -> Training:
+def train_and_evaluate(samples: DataFrame, c: float = 1.0, min_df: int = 2, max_iter: int = 2000) -> Training:
     """Model and baselines from the training split, judged on all splits alike.
 
     The verdict comes from validation, or from test when there is no validation.
     """
     labels = present_labels(samples)
     train = samples.filter(F.col("split") == C.TRAIN)
-    model = fit(train, labels, c, min_df, max_iter, vocabulary_size)
+    model = fit(train, labels, c, min_df, max_iter)
     judged = predictions(samples, train, model).select(
         "split", "y", "model", "majority", "heuristic").persist()
     rows = []

@@ -36,11 +36,14 @@ def parsed_events(spark, sf_dir):
     return E.parse_events(raw, c("value")).select("source_id", "event_id", "analysis_id", "decoded")
 
 
-@query("unprocessed_events", "select event_id from events where event_type<>'view'")
+@query("unprocessed_events", "select event_id from events where event_type<>'view' and user_id%10>1")
 def unprocessed_events(spark, sf_dir):
     events = _events(spark, sf_dir)
     ledger = events.filter("event_type = 'view'").select("event_id")
-    return E.unprocessed(events.unionByName(events), ledger).select("event_id")
+    states = events.select(c("user_id").alias("analysis_id"), F.when(c("user_id") % 10 == 0, "CONCLUIDA").when(
+        c("user_id") % 10 == 1, "FALHOU").otherwise("PROCESSANDO").alias("state"))
+    events = events.withColumn("analysis_id", c("user_id"))
+    return E.unprocessed(events.unionByName(events), ledger, states, "ts").select("event_id")
 
 
 O.add_view("e_failures", """select event_id, user_id analysis_id, ts, case event_id%7 when 0 then
@@ -105,14 +108,18 @@ def states_after_failures(spark, sf_dir):
     return _dead(spark, sf_dir).states
 
 
-@query("state_transitions", with_views("""select analysis_id, event_id, before, state, case when before is
-    null then 'primeira' when (before, state) in (('RECEBIDA', 'PROCESSANDO'), ('RECEBIDA', 'FALHOU'),
-    ('PROCESSANDO', 'CONCLUIDA'), ('PROCESSANDO', 'FALHOU')) then 'legal' else 'ilegal' end kind from (
-    select *, lag(state) over (partition by analysis_id order by ts, event_id) "before" from d_event_log)""",
-    "d_event_log"))
+@query("state_transitions", with_views("""select * from (with recursive e as (select *, row_number() over (partition by
+    analysis_id order by ts, event_id) n from d_event_log), w(analysis_id, event_id, n, before, state, cur, kind) as (
+    select analysis_id, event_id, n, null::varchar, state, case when state='RECEBIDA' then state end,
+    case when state='RECEBIDA' then 'primeira' else 'ilegal' end from e where n=1 union all
+    select e.analysis_id, e.event_id, e.n, cur, e.state, case when (cur is null and e.state='RECEBIDA') or
+    (cur='RECEBIDA' and e.state in ('PROCESSANDO', 'FALHOU')) or (cur='PROCESSANDO' and e.state in ('CONCLUIDA',
+    'FALHOU')) then e.state else cur end, case when cur is null and e.state='RECEBIDA' then 'primeira' when
+    (cur='RECEBIDA' and e.state in ('PROCESSANDO', 'FALHOU')) or (cur='PROCESSANDO' and e.state in ('CONCLUIDA',
+    'FALHOU')) then 'legal' else 'ilegal' end from w join e on e.analysis_id=w.analysis_id and e.n=w.n+1)
+    select analysis_id, event_id, before, state, kind from w)""", "d_event_log"))
 def state_transitions(spark, sf_dir):
-    return E.transitions(D.event_log(spark, sf_dir), D.micros(c("ts"))).select(
-        "analysis_id", "event_id", "before", "state", "kind")
+    return E.transitions(D.event_log(spark, sf_dir)).select("analysis_id", "event_id", "before", "state", "kind")
 
 
 @query("rate_capped_events", f"""with recursive e as (select user_id, event_id, epoch_us(ts) t, row_number()
@@ -128,11 +135,12 @@ def rate_capped_events(spark, sf_dir):
         "event_id", "user_id", "position", "allowed")
 
 
-@query("budget_gate", """select event_id, strftime(ts, '%Y-%m') as month, cost_cents, (coalesce(sum(greatest(
-    cost_cents, 0)) over (partition by strftime(ts, '%Y-%m') order by ts, event_id rows between unbounded
-    preceding and 1 preceding), 0))::bigint spent_before, coalesce(sum(greatest(cost_cents, 0)) over (
-    partition by strftime(ts, '%Y-%m') order by ts, event_id rows between unbounded preceding and 1 preceding),
-    0)>=1000 blocked from (select *, floor(value)::bigint-5 cost_cents from events)""")
+@query("budget_gate", """with recursive e as (select event_id, strftime(ts, '%Y-%m') as month, floor(value)::bigint-5
+    cost_cents, row_number() over (partition by strftime(ts, '%Y-%m') order by ts, event_id) n from events),
+    w(event_id, month, n, cost_cents, spent) as (select event_id, month, n, cost_cents, 0::bigint from e where n=1
+    union all select e.event_id, e.month, e.n, e.cost_cents, case when spent>=1000 then spent else
+    spent+greatest(w.cost_cents, 0) end from w join e on e.month=w.month and e.n=w.n+1)
+    select event_id, month, cost_cents, spent spent_before, spent>=1000 blocked from w""")
 def budget_gate(spark, sf_dir):
     from docaudit.functions import text as T
     calls = _events(spark, sf_dir).select(

@@ -145,15 +145,24 @@ def package_reasons(spark, sf_dir):
     return P.package_reasons(document_packages(spark, sf_dir))
 
 
+O.add_view("k_ok", "select doc_id from documents where doc_id%17<>0 and doc_id%19<>0 and doc_id%23<>0", [])
+O.add_view("k_link_findings", O.VIEWS["f_link"].replace("from d_links", "from k_links"), ["k_links"])
+
+
 @query("package_findings", with_views("""select rule_id, count(*) n from (
-    select 'IMAGEM_SEM_TEXTO_ALTERNATIVO' rule_id from k_images where alt is null union all
-    select 'TABELA_SEM_CABECALHO' from k_tables where not first_row_header union all
-    select 'TITULO_AUSENTE' from k_docs where title is null or trim(title)='' union all
-    select 'IDIOMA_NAO_DECLARADO' from k_docs where doc_id%4>=2 union all
-    select 'ORDEM_HIERARQUICA_CABECALHOS' from (select level, lag(level, 1, 0) over (partition by doc_id order
-    by seq) b from k_headings) where level>b+1) group by 1""", "k_images", "k_tables", "k_docs", "k_headings"))
+    select doc_id, 'IMAGEM_SEM_TEXTO_ALTERNATIVO' rule_id from k_images where alt is null union all
+    select doc_id, 'TABELA_SEM_CABECALHO' from k_tables where not first_row_header union all
+    select doc_id, 'TITULO_AUSENTE' from k_docs where title is null or trim(title)='' union all
+    select doc_id, 'IDIOMA_NAO_DECLARADO' from k_docs where doc_id%4>=2 union all
+    select doc_id, rule_id from k_link_findings union all
+    select doc_id, 'ORDEM_HIERARQUICA_CABECALHOS' from (select doc_id, level, lag(level, 1, 0) over (partition by
+    doc_id order by seq) b from k_headings) where level>b+1) semi join k_ok using (doc_id) group by 1""", "k_images",
+    "k_tables", "k_docs", "k_headings", "k_link_findings", "k_ok"))
 def package_findings(spark, sf_dir):
-    elements, _ = _shredded(spark, sf_dir, True)
-    facts = X.all_facts(elements, D.table(spark, sf_dir, "documents").select("doc_id"))
-    return R.run_rules(facts).filter("rule_id <> 'LINK_SEM_TEXTO_DESCRITIVO'").groupBy("rule_id").agg(
-        F.count(F.lit(1)).alias("n"))
+    """All rules over the packages that are packages and of which every part could be read."""
+    packages = document_packages(spark, sf_dir)
+    good = P.package_reasons(packages).filter("reason IS NULL").select("doc_id")
+    elements, parts = P.shred(packages.join(good, "doc_id", "left_semi"))
+    ids = good.join(X.failed_documents(parts), "doc_id", "left_anti")
+    facts = X.all_facts(elements.join(ids, "doc_id", "left_semi"), ids)
+    return R.run_rules(facts).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))

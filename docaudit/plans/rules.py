@@ -18,7 +18,7 @@ _NAMES = ("image", "table", "heading", "title", "link", "language")
 
 def _rule(index: int):
     def run(spark, sf_dir):
-        return R.run_rules(D.facts(spark, sf_dir), [R.RULES[index]])
+        return R.run_rules(D.facts(spark, sf_dir, shared=False), [R.RULES[index]])
     return run
 
 

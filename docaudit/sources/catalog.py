@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docaudit import constants as C
 
+MOST = 1000
 SCHEMA = "criterion string, title string, level string, applicability string"
 
 
@@ -24,8 +25,8 @@ def applicability(value: str) -> str:
 
 def catalogue(spark: SparkSession, criteria: Iterable[tuple] = C.CRITERIA) -> DataFrame:
     rows = [(c, title, level, applicability(kind)) for c, title, level, kind in criteria]
-    if len(rows) > 1000:
-        raise CatalogueError(f"{len(rows)} criteria, expected a catalogue of at most 1000")
+    if len(rows) > MOST:
+        raise CatalogueError(f"{len(rows)} criteria, expected a catalogue of at most {MOST}")
     for criterion, _, level, _ in rows:
         if level not in C.LEVELS:
             raise CatalogueError(f"criterion {criterion} has unknown level {level!r}")
@@ -35,9 +36,11 @@ def catalogue(spark: SparkSession, criteria: Iterable[tuple] = C.CRITERIA) -> Da
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """The catalogue from its JSON file; a table of a few rows, so it may be checked here."""
     rows = (spark.read.option("multiLine", True).json(path)
-            .selectExpr("inline(criterios)").select("id", "titulo", "nivel", "aplicabilidadeIct")
-            .limit(1000).collect())
-    return catalogue(spark, [tuple(r) for r in rows])
+            .selectExpr("inline(criterios)").select("id", "titulo", "nivel", "aplicabilidadeIct"))
+    n = rows.count()
+    if n > MOST:
+        raise CatalogueError(f"{n} criteria, expected a catalogue of at most {MOST}")
+    return catalogue(spark, [tuple(r) for r in rows.collect()])
 
 
 def check_rules(rules: Iterable, criteria: Iterable[tuple] = C.CRITERIA) -> None:

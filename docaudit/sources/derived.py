@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from docaudit.functions import quality as Q
 from docaudit.functions import text as T
-from docaudit.operators.ordered import attach, compute_once, over_ordered, spread_if_few
+from docaudit.operators.ordered import attach, compute_once, over_ordered, spread_if_one_file
 from docaudit.operators.rules import Facts
 from docaudit.schemas import TABLES
+from docaudit.session import cut_lineage
 
 PART = "word/document.xml"
 # Tables whose rows cost far more to compute on than to read.
@@ -23,12 +24,23 @@ _LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey"]
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table by its declared schema, so that planning reads no footers."""
     rows = spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
-    return spread_if_few(rows) if name in TEXT_TABLES else rows
+    return spread_if_one_file(rows) if name in TEXT_TABLES else rows
 
 
-def _numbered(lines: DataFrame, name: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All order lines, numbered once per order, with their part and the heading level before.
+
+    Every kind of line fact is a selection of columns of this one table.
+    """
+    level = F.lit(1) + F.col("l_quantity").cast("int") % 4
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus",
+        level.alias("level"))
     spread = F.col("l_linenumber") * F.lit(1e12) + F.col("l_partkey")
-    return over_ordered(lines, ["l_orderkey"], _LINE_ORDER, spread, number=name)
+    rows = over_ordered(rows, ["l_orderkey"], _LINE_ORDER, spread, number="seq", previous={"before": ("level", 0)})
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_name",
+                                               F.lit(True).alias("has_part"))
+    return attach(rows, part, "l_partkey")
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,44 +54,36 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         state.alias("state"))
 
 
-def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+def images(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     key = F.col("l_partkey")
     alt = (F.when(key % 5 == 0, F.lit(None).cast("string"))
            .when(key % 7 == 0, "  ").otherwise(F.col("p_name")))
-    part = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("l_partkey"), "p_brand", "p_name")
-    lines = _numbered(table(spark, sf_dir, "lineitem"), "seq")
-    return attach(lines, part, "l_partkey", "inner").select(
+    return (lines(spark, sf_dir) if of is None else of).filter("has_part").select(
         F.col("l_orderkey").alias("doc_id"), F.lit(PART).alias("part"), "seq",
         F.col("p_brand").alias("name"), alt.alias("alt"))
 
 
-def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tables(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     rows = F.when(F.col("l_linenumber") == 7, 0).otherwise(F.col("l_quantity").cast("int"))
-    lines = _numbered(table(spark, sf_dir, "lineitem"), "table_idx")
-    return lines.select(
-        F.col("l_orderkey").alias("doc_id"), F.lit(PART).alias("part"), "table_idx",
+    return (lines(spark, sf_dir) if of is None else of).select(
+        F.col("l_orderkey").alias("doc_id"), F.lit(PART).alias("part"), F.col("seq").alias("table_idx"),
         rows.alias("n_rows"), (F.col("l_returnflag") == "R").alias("first_row_header"))
 
 
-def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    level = F.lit(1) + F.col("l_quantity").cast("int") % 4
-    lines = _numbered(table(spark, sf_dir, "lineitem"), "seq")
-    return lines.select(
+def headings(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    return (lines(spark, sf_dir) if of is None else of).select(
         F.col("l_orderkey").alias("doc_id"), F.lit(PART).alias("part"), "seq",
-        level.alias("level"), F.col("l_linestatus").alias("text"))
+        "level", F.col("l_linestatus").alias("text"), "before")
 
 
-def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def links(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     kind = F.col("l_partkey") % 6
     text = (F.when(kind == 0, "Clique aqui!").when(kind == 1, "saiba mais")
             .when(kind == 2, F.concat(F.lit("https://example.org/"), F.col("l_partkey")))
             .when(kind == 3, F.concat(F.lit("doc-"), F.col("l_suppkey")))
             .when(kind == 4, "  ").otherwise(F.col("p_name")))
     target = F.when(F.col("l_suppkey") % 3 != 0, F.concat(F.lit("DOC-"), F.col("l_suppkey")))
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    lines = _numbered(spread_if_few(table(spark, sf_dir, "lineitem")), "seq")
-    return attach(lines, part, "l_partkey", "inner").select(
+    return (lines(spark, sf_dir) if of is None else of).filter("has_part").select(
         F.col("l_orderkey").alias("doc_id"), F.lit(PART).alias("part"), "seq",
         text.alias("text"), target.alias("target"))
 
@@ -92,9 +96,12 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).cast("bigint").alias("seq"), value.alias("value"))
 
 
-def facts(spark: SparkSession, sf_dir: str) -> Facts:
-    return Facts(docs(spark, sf_dir), images(spark, sf_dir), tables(spark, sf_dir),
-                 headings(spark, sf_dir), links(spark, sf_dir), languages(spark, sf_dir))
+def facts(spark: SparkSession, sf_dir: str, shared: bool = True) -> Facts:
+    """All facts. Shared lines are numbered and joined once and written; without, each kind that is
+    read plans them anew, which suits a query of one kind."""
+    of = cut_lineage(lines(spark, sf_dir)) if shared else lines(spark, sf_dir)
+    return Facts(docs(spark, sf_dir), images(spark, sf_dir, of), tables(spark, sf_dir, of),
+                 headings(spark, sf_dir, of), links(spark, sf_dir, of), languages(spark, sf_dir))
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:

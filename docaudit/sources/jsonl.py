@@ -54,5 +54,5 @@ def write_dataset(rows: DataFrame, path: str, overwrite: bool = False, form: str
 
 
 def write_report(report: DataFrame, path: str, overwrite: bool = True) -> None:
-    """A report of a few rows as JSON."""
-    report.limit(10_000).coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").json(path)
+    """A report as one JSON file, all its rows."""
+    report.coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").json(path)

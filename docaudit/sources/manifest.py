@@ -27,6 +27,11 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return documents, failures
 
 
+def written_list(names: DataFrame) -> str:
+    """All names in order, joined where they are; empty without any."""
+    return names.agg(F.array_join(F.array_sort(F.collect_set(names.columns[0])), ", ")).first()[0]
+
+
 def verify_corpus(spark: SparkSession, documents: DataFrame, folder: str,
                   strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """(verified, differing): manifest rows whose file exists, by content hash.
@@ -39,9 +44,9 @@ def verify_corpus(spark: SparkSession, documents: DataFrame, folder: str,
     both = documents.join(files, "arquivo")
     differing = both.filter("found_sha256 <> sha256").select("arquivo", "sha256", "found_sha256")
     if strict:
-        names = [r[0] for r in differing.select("arquivo").orderBy("arquivo").limit(20).collect()]
+        names = written_list(differing.select("arquivo"))
         if names:
-            raise CorpusError("sha256 divergente do manifesto em: " + ", ".join(names)
+            raise CorpusError("sha256 divergente do manifesto em: " + names
                               + ". O arquivo em disco nao e o que foi coletado; recolete antes "
                                 "de montar dataset.")
     fill = {"orgao": "desconhecido", "esfera": "desconhecida", "categoria": "desconhecida",

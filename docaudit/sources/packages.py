@@ -29,11 +29,12 @@ _KEPT = {"w:p", "w:tbl", "w:tr", "w:tblHeader", "w:outlineLvl", "w:pStyle", "w:h
 
 
 def read_packages(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, content) of every file; oversized files are left out by their size."""
+    """(doc_id, content) of every file; one over the limit has no content and is refused for its size."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.docx")
              .option("recursiveFileLookup", "true").load(folder))
-    return files.filter(F.col("length") <= C.MAX_PACKAGE_BYTES).select(
-        F.regexp_extract("path", "([^/]+)$", 1).alias("doc_id"), "content")
+    name = F.regexp_extract("path", "([^/]+)$", 1).alias("doc_id")
+    large = files.filter(F.col("length") > C.MAX_PACKAGE_BYTES).select(name, F.lit(None).cast("binary").alias("content"))
+    return files.filter(F.col("length") <= C.MAX_PACKAGE_BYTES).select(name, "content").union(large)
 
 
 # ------------------------------------------------------------------ type check
@@ -48,7 +49,10 @@ def package_entries(packages: DataFrame) -> DataFrame:
     """
     limit, most = C.MAX_PACKAGE_BYTES, C.MAX_ENTRIES
 
-    def listing(content: bytes) -> Iterator[tuple]:
+    def listing(content: bytes | None) -> Iterator[tuple]:
+        if content is None:  # left unread for its size
+            yield None, limit + 1, "ok"
+            return
         if content[:2] != b"PK":
             yield None, 0, "no_zip"
             return
@@ -70,7 +74,7 @@ def package_entries(packages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc, content in zip(batch["doc_id"], batch["content"]):
-                rows = [(doc, *r) for r in listing(bytes(content))]
+                rows = [(doc, *r) for r in listing(None if content is None else bytes(content))]
                 if rows:
                     yield pd.DataFrame(rows, columns=["doc_id", "name", "size", "status"])
     kind = dict(packages.dtypes)["doc_id"]
@@ -260,7 +264,8 @@ def shred(packages: DataFrame, materialize: bool = True) -> tuple[DataFrame, Dat
 
     columns = list(_COLUMNS)
     kind = dict(packages.dtypes)["doc_id"]
-    rows = packages.select("doc_id", "content").mapInPandas(run, ELEMENTS.format(id=kind))
+    read = packages.filter("content IS NOT NULL").select("doc_id", "content")
+    rows = read.mapInPandas(run, ELEMENTS.format(id=kind))
     if materialize:
         rows = cut_lineage(rows)
     parts = rows.filter("kind = 'part'").select("doc_id", "part", F.col("tag").alias("status"))

@@ -26,11 +26,12 @@ def deduplicated(stream: DataFrame, at: str, delay: str = "1 day") -> DataFrame:
 
 
 def consume(stream: DataFrame, work: Callable[[DataFrame], dict[str, DataFrame]], ledger: str,
-            output: str, checkpoint: str) -> StreamingQuery:
+            output: str, checkpoint: str, states: Callable[[SparkSession], DataFrame] | None = None) -> StreamingQuery:
     """Run ``work`` once per new event and write its tables, at least once but idempotently.
 
     ``work`` maps a batch of events to named tables. A batch replayed after a failure writes
-    the same ``batch=<id>`` folders again, and the ledger it reads leaves its own batch out.
+    the same ``batch=<id>`` folders again, and the ledger it reads leaves its own batch out. With
+    ``states`` events of finished analyses reach the ledger but are not worked on.
     """
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -39,7 +40,8 @@ def consume(stream: DataFrame, work: Callable[[DataFrame], dict[str, DataFrame]]
         fresh = E.unprocessed(batch.withColumn("event_id", F.col("event_id").cast("string")),
                               seen).persist()
         try:
-            for name, table in work(fresh).items():
+            due = fresh if states is None else E.unprocessed(fresh, seen, states(spark))
+            for name, table in work(due).items():
                 table.write.mode("overwrite").parquet(f"{output}/{name}/batch={number}")
             fresh.select("event_id").distinct().write.mode("overwrite").parquet(
                 f"{ledger}/batch={number}")
@@ -68,9 +70,11 @@ def analyse(packages: DataFrame) -> Callable[[DataFrame], dict[str, DataFrame]]:
         ids = events.select("analysis_id").distinct()
         found = packages.join(ids, "analysis_id", "left_semi").select(
             F.col("analysis_id").alias("doc_id"), "content")
+        refused = P.package_reasons(found).filter("reason IS NOT NULL").select("doc_id")
+        found = found.join(refused, "doc_id", "left_anti")
         elements, parts = P.shred(found)
         facts = X.all_facts(elements, found.select("doc_id"))
-        bad = parts.filter("status = 'unreadable'").select("doc_id").distinct()
+        bad = X.failed_documents(parts).unionByName(refused)
         missing = ids.join(packages.select("analysis_id"), "analysis_id", "left_anti")
         letters = bad.select(F.col("doc_id").alias("analysis_id"), F.lit("ParteIlegivel").alias(
             "exception")).unionByName(missing.withColumn("exception", F.lit("BinarioAusente")))

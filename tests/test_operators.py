@@ -43,21 +43,58 @@ def test_blocks_agree_with_plain_windows(skewed, monkeypatch):
     assert whole([0]) == whole([])
 
 
-def test_hot_keys_are_found_by_the_sketch(skewed, monkeypatch):
-    monkeypatch.setattr(OR, "is_small", lambda df: False)
-    assert OR.hot_keys(skewed, ["k"], rows=1000) == [_hash_of(skewed, "k", 0)]
+def test_every_heavy_key_is_found_and_cut(spark, monkeypatch):
+    """One key with 40 % of the rows and a hundred more over the limit, through the only path."""
+    monkeypatch.setattr(OR, "HOT_ROWS", 40)
+    monkeypatch.setattr(OR, "BLOCKS", 8)
+    rows = [(0, i, i % 5) for i in range(4000)] + [(1 + i % 100, i, i % 7) for i in range(5000)] + [(1000 + i, i, 1) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k int, o int, v int").repartition(8)
+    assert len(OR.hot_keys(df, ["k"])) == 101
+    w = W.partitionBy("k").orderBy("o")
+    want = df.select("k", "o", F.row_number().over(w).cast("bigint").alias("n"), F.sum("v").over(w).alias("s"), F.lag("v", 1, -1).over(w).alias("b"))
+    got = OR.over_ordered(df, ["k"], ["o"], F.col("o"), number="n", running={"s": F.col("v")}, previous={"b": ("v", -1)})
+    assert sorted(map(tuple, got.select("k", "o", "n", "s", "b").collect())) == sorted(map(tuple, want.collect()))
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_salted_join_agrees_with_plain_join(spark, skewed, monkeypatch, how):
+def test_join_casts_its_keys(spark, skewed, how):
     lookup = spark.createDataFrame([(i, f"x{i}") for i in range(0, 300)], "k bigint, x string")
     plain = sorted(map(tuple, skewed.join(lookup, "k", how).collect()), key=repr)
-    monkeypatch.setattr(OR, "hot_keys", lambda df, on: [_hash_of(skewed, "k", 0)])
     assert sorted(map(tuple, OR.attach(skewed, lookup, "k", how).collect()), key=repr) == plain
 
 
+@pytest.mark.parametrize("n", [1, 9_999, 10_000, 10_001, 30_000])
+def test_digest_has_one_definition_at_every_size(spark, n):
+    import hashlib
+    rows = spark.range(n).select(F.lit("s").alias("slice"), F.col("id").alias("ord"), F.concat(F.lit("r"), "id").alias("id"))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    blocks = [sha("".join(f"r{i}\0" for i in range(a, min(a + 10_000, n)))) for a in range(0, n, 10_000)]
+    assert U.ordered_digest(rows, "slice", "ord", "id").first()["digest"] == sha(sha("".join(blocks)))
+
+
+def test_refused_steps_change_nothing(spark):
+    steps = ["RECEBIDA", "PROCESSANDO", "CONCLUIDA", "PROCESSANDO", "CONCLUIDA"]
+    rows = [("a", i, i, s) for i, s in enumerate(steps)] + [("b", 9, 0, "PROCESSANDO"), ("b", 10, 1, "RECEBIDA"), ("b", 11, 2, "RECEBIDA"), ("b", 12, 3, "FALHOU")]
+    log = spark.createDataFrame(rows, "analysis_id string, event_id int, ts int, state string")
+    out = {r.event_id: (r.before, r.kind) for r in E.transitions(log).collect()}
+    assert [out[i] for i in range(5)] == [(None, "primeira"), ("RECEBIDA", "legal"), ("PROCESSANDO", "legal"), ("CONCLUIDA", "ilegal"), ("CONCLUIDA", "ilegal")]
+    assert [out[i] for i in range(9, 13)] == [(None, "ilegal"), (None, "primeira"), ("RECEBIDA", "ilegal"), ("RECEBIDA", "legal")]
+
+
+def test_refused_calls_are_not_charged(spark):
+    calls = spark.createDataFrame([(i, i, 600) for i in range(4)], "event_id int, ts int, cost_cents bigint")
+    out = E.budget_gate(calls, F.lit("m"), F.col("ts"), cap=1000).orderBy("ts").collect()
+    assert [(r.spent_before, r.blocked) for r in out] == [(0, False), (600, False), (1200, True), (1200, True)]
+
+
+def test_equal_open_links_close_in_their_own_order(spark):
+    from docaudit.sources.html import html_elements
+    pages = spark.createDataFrame([("p", "<a href=x><a href=x>t</a>u</a>")], "page_id string, html string")
+    assert [r.text for r in html_elements(pages).orderBy("seq").collect()] == ["tu", "t"]
+
+
 def test_longest_run_by_brute_force(spark, skewed, monkeypatch):
-    monkeypatch.setattr(OR, "hot_keys", lambda df, keys: [_hash_of(skewed, "k", 0)])
+    monkeypatch.setattr(OR, "HOT_ROWS", 1000)
     got = {r["k"]: r["longest_run"] for r in OR.longest_run(skewed, ["k"], ["o"], F.col("o"), "label").collect()}
     want, state = {}, {}
     for k, o, label, _ in sorted(map(tuple, skewed.collect()), key=lambda r: r[1]):
@@ -266,13 +303,6 @@ def test_each_fault_fails_its_check(spark, fault, broken):
     assert fails(faulty) - base == broken
 
 
-def test_digest_of_one_block_is_the_plain_hash(spark):
-    import hashlib
-    rows = spark.createDataFrame([("s", i, f"i{i}") for i in range(50)], "slice string, ord int, id string").repartition(4)
-    plain = hashlib.sha256("".join(f"i{i}\0" for i in range(50)).encode()).hexdigest()
-    assert U.ordered_digest(rows, "slice", "ord", "id").first()["digest"] == plain
-    assert U.ordered_digest(rows, "slice", "ord", "id", block=4).count() == 1
-
 
 # -------------------------------------------------------------------- training
 def test_train_score_export_and_fallback(spark, tmp_path):

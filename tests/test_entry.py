@@ -3,6 +3,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry_module
+from docaudit.plans import registry
 
 SF = "/root/testdata/sf0.001"
 FITS = {"model_evaluation", "scored_alts", "cross_validation_checks"}
@@ -15,11 +16,14 @@ def test_entry_has_rows_and_a_stable_schema(spark):
 
 
 def test_every_query_but_model_fits_has_an_oracle():
-    assert set(entry_module.queries()) - set(entry_module.oracle_sql()) == FITS
+    registry.load()
+    assert set(registry.QUERIES) - set(registry.ORACLES) == FITS
+    assert set(registry.QUERIES) <= set(entry_module.queries())
 
 
 def test_no_plan_pairs_all_rows(spark):
-    for name, query in entry_module.queries().items():
+    registry.load()
+    for name, query in registry.QUERIES.items():
         if name in FITS:
             continue
         plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -73,6 +73,41 @@ def op9_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
 
 
+ORACLES["op9_url_template_tree"] = rf"""
+with cut as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+split as (select page_id, regexp_extract(rest, '^[^/?#]*') as h, rest from cut),
+page as (select page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') as path from split),
+fit as (select *, (host = 'com' or suffix(host, '.com')) as com, (host = 'net' or suffix(host, '.net')) as net,
+    (host = 'example.com' or suffix(host, '.example.com')) as ex, (host = 'www.example.com' or suffix(host, '.www.example.com')) as www from page),
+ruled as (select page_id, host, path, case when www and starts_with(path, '/en/') then 'www.example.com/en/'
+    when ex and starts_with(path, '/en/') then 'example.com/en/' when net and starts_with(path, '/es/') then 'net/es/'
+    when net and starts_with(path, '/fr/') then 'net/fr/' when com and starts_with(path, '/') then 'com/' end as rule from fit),
+seen as (select *, case when rule in ('com/', 'www.example.com/en/') then 'allow' when rule is not null then 'block' end as ruled,
+    [case when regexp_matches(x, '^[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$') then '{{uuid}}'
+    when regexp_matches(x, '^[0-9a-fA-F]{{8,}}$') and regexp_matches(x, '[0-9]') and regexp_matches(x, '[a-fA-F]') then '{{hex}}'
+    else regexp_replace(x, '[0-9]+', '{{n}}', 'g') end for x in string_split(path, '/')] as form from ruled),
+forms as (select host, form, count(*) as pages, count(*) filter (ruled = 'allow') as good, count(*) filter (ruled = 'block') as bad
+    from seen group by 1, 2),
+places as (select *, unnest(form) as segment, unnest(range(len(form))) as i from forms),
+step as (select *, array_to_string(form[1:i], '/') as parent from places),
+child as (select host, i, parent, segment, sum(pages) as pages, sum(good) as good, sum(bad) as bad from step group by all),
+kinds as (select *, count(*) over w as children, sum(pages) over w as all_pages, sum(good) over w as g, sum(bad) over w as b
+    from child window w as (partition by host, i, parent)),
+tested as (select *, case when good + bad > 0 and g + b - good - bad > 0 then
+    pow(good / (good + bad) - (g - good) / (g + b - good - bad), 2) > {urls.CRITICAL} * (g / (g + b)) * (1 - g / (g + b))
+    * (1 / (good + bad) + 1 / (g + b - good - bad)) else true end as apart from kinds),
+tokens as (select host, i, parent, segment, case when children >= {urls.WIDE} and 2 * children >= all_pages then '*'
+    when not apart then '{{alike}}' else segment end as token from tested),
+tree as (select host, form, any_value(good) as good, any_value(bad) as bad, string_agg(token, '/' order by i) as template
+    from step join tokens using (host, i, parent, segment) group by 1, 2),
+pure as (select host, template, (sum(good) + 1) / (sum(good) + sum(bad) + 2) as purity from tree group by 1, 2)
+select page_id, host, path, rule, template, purity,
+    coalesce(ruled, case when purity < {urls.MIN_PURITY} then 'block' else 'allow' end) as verdict
+from seen join tree using (host, form) join pure using (host, template)
+"""
+
+
 @query
 def op5_warc_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")

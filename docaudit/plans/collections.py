@@ -10,6 +10,7 @@ from docaudit.operators import score as S
 from docaudit.plans import oracle as O
 from docaudit.plans.oracle import with_views
 from docaudit.plans.registry import query
+from docaudit.session import cut_lineage
 from docaudit.sources import archive as A
 from docaudit.sources import derived as D
 from docaudit.sources import html as H
@@ -17,21 +18,31 @@ from docaudit.sources import html as H
 c = F.col
 _PLAIN = ("replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]+>', '', 'g'), "
           "'&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')")
+_NOT_CONTENT = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>"
 
 
 def _each(pattern: str) -> str:
     return (f"select page_id, x[i] tag, i-1 seq from (select page_id, x, unnest(range(1, len(x)+1)) "
             f"i from (select page_id, regexp_extract_all(regexp_replace(html, "
-            f"'{H._NOT_CONTENT}', '', 'g'), '{pattern}') x from pages))")
+            f"'{_NOT_CONTENT}', '', 'g'), '{pattern}') x from pages))")
 
 
-O.add_view("p_headings", f"""select page_id doc_id, 'html' part, seq::int seq, regexp_extract(tag,
+# The oracle reads the regular markup of the given pages by pattern; what is planted behind it is known.
+O.add_view("p_headings0", f"""select page_id doc_id, 'html' part, seq::int seq, regexp_extract(tag,
     '(?i)^<h([1-6])', 1)::int as level, {_PLAIN.format('tag')} as text from (
     {_each(r'(?is)<h[1-6][^>]*>.*?</h[1-6]>')})""", [])
-O.add_view("p_links", rf"""select page_id doc_id, 'html' part, seq::int seq,
+O.add_view("p_headings", """select * from p_headings0 union all select page_id, 'html', coalesce(n, 0)::int, 3, 'fim'
+    from pages left join (select doc_id, count(*) n from p_headings0 group by 1) on doc_id=page_id where page_id%3=2""",
+           ["p_headings0"])
+O.add_view("p_links0", rf"""select page_id doc_id, 'html' part, seq::int seq,
     {_PLAIN.format('tag')} as text, nullif({_PLAIN.format('h')}, '') target from (select *,
     regexp_extract(tag, '(?is)^<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1) h from (
     {_each(r'(?is)<a\b[^>]*>.*?</a>')}))""", [])
+O.add_view("p_links", """select * from p_links0 union all select page_id, 'html', coalesce(n, 0)::int, 'Saiba mais',
+    concat('/u/', page_id) from pages left join (select doc_id, count(*) n from p_links0 group by 1) on doc_id=page_id
+    where page_id%3=1""", ["p_links0"])
+O.add_view("p_images", """select page_id doc_id, 'html' part, i::int seq, '' as name, case when i=1 then 'a > b' end alt
+    from pages, (select unnest([0, 1]) i) where page_id%3=0""", [])
 O.add_view("p_languages", r"""select page_id doc_id, 'word/styles.xml' part, 0 seq, v as value from
     (select page_id, trim(regexp_extract(html, '(?is)<html\b[^>]*?\blang\s*=\s*["'']([^"'']*)["'']',
     1)) v from pages) where v<>'' and lower(v)<>'x-none'""", [])
@@ -44,44 +55,51 @@ def _pages(spark, sf_dir):
     return D.table(spark, sf_dir, "pages")
 
 
-def page_facts(spark, sf_dir) -> R.Facts:
-    pages = _pages(spark, sf_dir)
-    images = pages.select(c("page_id").alias("doc_id"), F.lit("html").alias("part"),
-                          F.lit(0).alias("seq"), F.lit("").alias("name"),
-                          F.lit("").alias("alt")).limit(0)
-    tables = pages.select(c("page_id").alias("doc_id"), F.lit("html").alias("part"),
-                          F.lit(0).alias("table_idx"), F.lit(0).alias("n_rows"),
-                          F.lit(True).alias("first_row_header")).limit(0)
-    return R.Facts(H.page_docs(pages), images, tables, H.page_headings(pages),
-                   H.page_links(pages), H.page_languages(pages))
+def _planted(spark, sf_dir):
+    """The pages with images, an unquoted attribute or an element that is never closed behind their end."""
+    k = c("page_id") % 3
+    more = (F.when(k == 0, '<img src=x><IMG alt="a > b">').when(k == 1, F.concat(
+        F.lit("<a href=/u/"), "page_id", F.lit(">Saiba mais</a>"))).otherwise("<h3>fim"))
+    return _pages(spark, sf_dir).withColumn("html", F.concat("html", more))
 
 
-for _name, _fn in (("headings", H.page_headings), ("links", H.page_links),
-                   ("languages", H.page_languages), ("docs", H.page_docs)):
+def page_facts(spark, sf_dir, shared=True) -> R.Facts:
+    """All facts of the pages from one parse. Tables of pages are no facts: nothing marks their headers."""
+    pages = _planted(spark, sf_dir)
+    found = H.html_elements(pages)
+    found = cut_lineage(found) if shared else found
+    tables = found.select(c("page_id").alias("doc_id"), F.lit("html").alias("part"), c("seq").alias("table_idx"),
+                          F.lit(0).alias("n_rows"), F.lit(True).alias("first_row_header")).filter("false")
+    return R.Facts(H.page_docs(found, pages), H.page_images(found), tables, H.page_headings(found),
+                   H.page_links(found), H.page_languages(found))
+
+
+for _name in ("headings", "links", "languages", "docs", "images"):
     query(f"page_{_name}", with_views(f"select * from p_{_name}", f"p_{_name}"))(
-        lambda spark, sf_dir, fn=_fn: fn(_pages(spark, sf_dir)))
+        lambda spark, sf_dir, name=_name: getattr(page_facts(spark, sf_dir, shared=False), name))
 
 
 @query("page_elements", with_views("""select page_id, 'html' tag, cast(null as varchar) href, lang,
     '' as text from (select page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) lang from pages)
     union all select doc_id, 'title', null, null, title from p_docs
     union all select doc_id, concat('h', level), null, null, text from p_headings
-    union all select doc_id, 'a', target, null, text from p_links""",
-    "p_docs", "p_headings", "p_links"))
+    union all select doc_id, 'a', target, null, text from p_links
+    union all select doc_id, 'img', null, null, '' from p_images""",
+    "p_docs", "p_headings", "p_links", "p_images"))
 def page_elements(spark, sf_dir):
-    """The parser path over the same pages must see what the native path sees."""
-    return H.html_elements(_pages(spark, sf_dir)).select("page_id", "tag", "href", "lang", "text")
+    return H.html_elements(_planted(spark, sf_dir)).select("page_id", "tag", "href", "lang", "text")
 
 
-@query("page_scores", with_views(f"""select doc_id, principle, 100-coalesce(p, 0) score, coalesce(n, 0)
+@query("page_scores", with_views(f"""select doc_id, principle, greatest(0, 100-coalesce(p, 0)) score, coalesce(n, 0)
     problems from (select doc_id, v.* from p_docs, (values ('1', 'PERCEPTIVEL'), ('2', 'OPERAVEL'),
-    ('3', 'COMPREENSIVEL')) v(digit, principle)) left join (
-    select doc_id, '2' digit, (8*count(*))::bigint p, count(*) n from (select *, trim(text) t from p_links)
+    ('3', 'COMPREENSIVEL')) v(digit, principle)) left join (select doc_id, digit, sum(p)::bigint p, sum(n)::bigint n from (
+    select doc_id, '2' digit, 8*count(*) p, count(*) n from (select *, trim(text) t from p_links)
     where t<>'' and ({O.norm_link('t')} in ({O.values(C.GENERIC_LINK_TEXTS)}) or
     regexp_matches(lower(t), '{C.URL_START}') or lower(t)=lower(coalesce(target, ''))) group by 1
-    union all select doc_id, '1', (8*count(*))::bigint, count(*) from (select *, lag(level, 1, 0) over (
+    union all select doc_id, '1', 8*count(*), count(*) from (select *, lag(level, 1, 0) over (
     partition by doc_id order by seq) b from p_headings) where level>b+1 group by 1
-    ) using (doc_id, digit)""", "p_docs", "p_links", "p_headings"))
+    union all select doc_id, '1', 15*count(*), count(*) from p_images where alt is null group by 1) group by 1, 2
+    ) using (doc_id, digit)""", "p_docs", "p_links", "p_headings", "p_images"))
 def page_scores(spark, sf_dir):
     facts = page_facts(spark, sf_dir)
     return S.principle_scores(facts.docs, R.run_rules(facts)).select(

@@ -168,6 +168,7 @@ WEB_EXTENSION = r"(jpe?g|png|gif|bmp|svg|webp|tiff?|ico|avif|psd)"
 WEB_FILE_NAME = r"(?i)^[\p{L}\p{N}_\-. ()\[\]]+\." + WEB_EXTENSION + "$"
 WEB_HASH = r"(?i)^[0-9a-f]{8,}(\." + WEB_EXTENSION + ")?$"
 TAG = r"<[^>]+>"
+CHARSET = r"""(?i)charset=["']?([\w\-]+)"""
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 CRITERION = r"\b([1-4]\.\d+\.\d+)\b"
 URL_START = r"^(https?://|www\.|ftp://|mailto:)"

@@ -167,10 +167,12 @@ _SYNTHETIC = ", ".join("({}, {}, '{}', '{}')".format(i, r, a, p) for r, (p, alts
 @query("synthetic_fill", with_views(f"""select concat('sintetico:', left(sha256(alt), 12)) id, alt,
     lower(strip_accents(alt)) group_key, 'treino' split, p filter_reason from (select * from (values
     {_SYNTHETIC}) v(i, r, alt, p) order by i, r limit 50) where lower(strip_accents(alt)) not in
-    (select group_key from d_rows)""", "d_rows"))
+    (select group_key from d_rows union all select g from d_taken)""", "d_rows", "d_taken"))
 def synthetic_fill(spark, sf_dir):
+    """What is missing after the rows at hand and those collected from the web."""
     rows = D.alt_rows(spark, sf_dir)
-    return DS.fill_quota(rows, rows.limit(0), 1_000_000_000).select(
+    web = DS.web_rows(K.collect_pages(PC.page_images(spark, sf_dir), C.QUOTA).accepted)
+    return DS.fill_quota(rows, web, 1_000_000_000).select(
         "id", "alt", "group_key", "split", "filter_reason")
 
 

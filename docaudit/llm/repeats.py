@@ -6,20 +6,22 @@ long for one suffix array, so the work is cut into shards such that all occurren
 *Anchors.* Every start of a string names the smallest hash among the GRAM-byte substrings inside the
 string (the first of equals). That depends on the string alone. Starts that follow each other and name the
 same place are a *context*: the bytes from the first start to the end of the last one's string. A first
-pass counts anchors into a bit table of fixed size; a second writes the contexts of anchors seen twice.
-*Copies collapse.* Contexts equal to the last byte keep their earliest document; every other one is
-removed whole. This takes exact copies and the inside of near copies out before anything is compared.
+pass counts anchors into a bit table of fixed size; a second finds the contexts of anchors seen twice. The
+table may know an anchor too many; that is only a context more, with an owner like every other.
+*Copies collapse.* Contexts equal to the last byte are owned by their earliest document; in every other one,
+and where it comes again in its owner, they are removed whole. This takes exact copies and the inside of
+near copies out before anything is compared.
 *Interval expansion.* What is left are anchors with several different contexts, one row for each. They are
 shuffled by anchor, and a task builds a suffix array and the Burrows-Wheeler transform of a block of them.
 From the intervals of single bytes it extends backwards, breadth first: each step turns the interval of a
 string into those of one byte more to its left, so all common prefixes of length 1, 2, 3 ... appear in
 this order, intervals with one suffix are dropped, and it stops at LENGTH. The suffixes of an interval that is left
-share LENGTH bytes; all but the earliest are repeats. Before that, runs of starts whose common core occurs only once in
-the block are left out, as nothing in them can repeat.
-*Crowded anchors.* An anchor with more than CROWD different contexts (the rim of a passage that very many
-documents share) would be one shard; its strings are compared one by one instead, by their hash, which
-spreads them over all tasks.
-*Removal.* The marks of a document are joined to its text.
+share LENGTH bytes; all but the earliest are repeats. Before that, contexts are cut into runs of RUN starts: equal runs
+collapse once more, and a run whose common core no other run of the block has is left out, as nothing in it can repeat.
+*Crowded anchors.* An anchor with more different contexts than a partition should hold (the rim of a passage
+that very many documents share) would be one shard; its strings are compared one by one instead, by their
+hash, which spreads them over all tasks.
+*Removal.* What a document owns and its marks are joined to its text, whose contexts are found once more.
 
 Ids order the documents. If they repeat or are null, documents are numbered by (id, text) first, nulls in
 front; rows equal in both come in any order, which changes no result but which of them is first. Null texts
@@ -32,6 +34,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +45,13 @@ LENGTH = 100
 GRAM = 24
 #: Starts that are judged together before the expansion.
 RUN = 11
-#: An anchor with more different contexts is compared string by string.
-CROWD = 2000
+#: An anchor is compared string by string if it has more different contexts than a shuffle partition has on
+#: average, but at least the first number and in any case from the second on.
+CROWD = (1000, 10_000)
 #: Bits of the tables, 2^BITS: their size doesn't grow with the input.
 BITS = 27
-#: Bytes hashed at once; bytes of contexts expanded at once.
-PIECE, BLOCK = 1 << 20, 3 << 20
+#: Bytes hashed at once, bytes of contexts expanded at once, bytes of texts cut at once.
+PIECE, BLOCK, GROUP = 1 << 17, 1 << 20, 4 << 20
 _ODD = 0x9E3779B97F4A7C15
 _HIGH = np.uint64(0xFFFFFFFFFF000000)
 _LOW = np.uint64(0xFFFFFF)
@@ -78,7 +83,10 @@ class Hasher:
     def all(self, size: int) -> np.ndarray:
         """Every substring of a size."""
         n = len(self.sums) - size
-        return _mixed((self.sums[size:] - self.sums[:n]) * self.back[:n])
+        x = (self.sums[size:] - self.sums[:n]) * self.back[:n]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        return x
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
@@ -100,10 +108,11 @@ def contexts(text: np.ndarray, ends: np.ndarray, hasher: Hasher) -> tuple[np.nda
     hasher.load(text)
     grams = hasher.all(GRAM)
     least = _least((grams & _HIGH) | np.arange(len(grams), dtype=np.uint64), LENGTH - GRAM + 1)
-    starts = np.arange(len(least))
-    doc = np.searchsorted(ends, starts, "right")
-    starts = starts[starts + LENGTH <= ends[doc]]
-    doc, place = doc[starts], (least[starts] & _LOW).astype(np.int64)
+    sizes = np.diff(ends, prepend=0)
+    n = np.maximum(sizes - LENGTH + 1, 0)
+    doc = np.repeat(np.arange(len(ends)), n)
+    starts = np.repeat(ends - sizes - (np.cumsum(n) - n), n) + np.arange(len(doc))
+    place = (least[starts] & _LOW).astype(np.int64)
     new = np.ones(len(starts), bool)
     new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
@@ -118,7 +127,7 @@ def pieces(ids: list, column: pa.Array) -> Iterator[tuple[list, np.ndarray, np.n
     ids, offsets of the first byte in the document, bytes, ends."""
     held, at = [], 0
     for id, text in zip(ids, column):
-        raw = np.frombuffer(text.as_py() or b"", np.uint8)
+        raw = np.frombuffer(text if isinstance(text, bytes) else text.as_py() or b"", np.uint8)
         if len(raw) > PIECE:
             for start in range(0, len(raw) - LENGTH + 1, PIECE):
                 part = raw[start:start + PIECE + LENGTH - 1]
@@ -134,15 +143,18 @@ def pieces(ids: list, column: pa.Array) -> Iterator[tuple[list, np.ndarray, np.n
 
 
 def _in_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bit = hashes >> np.uint64(64 - BITS)
-    return ((table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
+    """Whether both bits of each hash, named by its first and its last bits, are set."""
+    found = np.ones(len(hashes), bool)
+    for bit in (hashes >> np.uint64(64 - BITS), hashes & np.uint64((1 << BITS) - 1)):
+        found &= ((table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
+    return found
 
 
 def _table(hashes: DataFrame, column: str) -> np.ndarray:
     """The bit table of a column of hashes, 2^BITS bits whatever the input."""
-    bit = f"shiftrightunsigned({column}, {64 - BITS})"
-    words = hashes.groupBy(F.expr(f"shiftrightunsigned({bit}, 6)").alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast({bit} & 63 as int))")).alias("bits"))
+    bits = F.explode(F.expr(f"array(shiftrightunsigned({column}, {64 - BITS}), {column} & {(1 << BITS) - 1}L)"))
+    words = hashes.select(bits.alias("bit")).groupBy(F.expr("shiftrightunsigned(bit, 6)").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
     table = np.zeros(1 << (BITS - 6), np.uint64)
     found = words.toArrow()
     table[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
@@ -231,7 +243,6 @@ def block_repeats(key: np.ndarray, uid: np.ndarray, start: np.ndarray, place: np
 
     ``place`` is the anchor's place in its context, ``size`` the context's bytes, ``text`` all of them.
     """
-    none = (np.empty(0, np.int64),) * 3
     base = np.cumsum(size) - size
     starts = size - LENGTH + 1
     of = np.repeat(np.arange(len(key)), starts)
@@ -242,16 +253,25 @@ def block_repeats(key: np.ndarray, uid: np.ndarray, start: np.ndarray, place: np
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(of)) - 1
     of, lo, hi, run = of[first], t[first], t[last], run[first]
-    # what all strings of a run have in common, RUN - 1 bytes less than one
+    # runs in the order of their documents: of equal ones the first is the earliest
+    begin = start[of] + lo
+    order = np.lexsort((begin, uid[of]))
+    of, lo, hi, run, begin = of[order], lo[order], hi[order], run[order], begin[order]
     hasher = Hasher()
     hasher.load(text)
+    # what all strings of a run have in common, RUN - 1 bytes less than one
     core = base[of] + place[of] - run * RUN
     core = hasher.of(core, core + LENGTH - RUN + 1) + key[of].view(np.uint64) * np.uint64(_ODD) + run.astype(np.uint64)
-    _, back, count = np.unique(core, return_inverse=True, return_counts=True)
-    keep = count[back] > 1
+    whole = _mixed(core) + hasher.of(base[of] + lo, base[of] + hi + LENGTH) + (place[of] - lo).astype(np.uint64) * np.uint64(_ODD)
+    lead = np.unique(whole, return_index=True)[1]
+    copied = np.ones(len(of), bool)
+    copied[lead] = False
+    copies = uid[of[copied]], begin[copied], begin[copied] + hi[copied] - lo[copied]
+    _, back, count = np.unique(core[lead], return_inverse=True, return_counts=True)
+    keep = np.sort(lead[count[back] > 1])
     of, lo, hi = of[keep], lo[keep], hi[keep]
     if not len(of):
-        return none
+        return copies
     width = hi - lo + LENGTH
     put = np.cumsum(width + 1) - width - 1
     inner = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
@@ -259,7 +279,7 @@ def block_repeats(key: np.ndarray, uid: np.ndarray, start: np.ndarray, place: np
     codes[np.repeat(put, width) + inner] = text[np.repeat(base[of] + lo, width) + inner] + 1
     at, group = shared_prefixes(codes)
     if not len(at):
-        return none
+        return copies
     piece = np.searchsorted(put, at, "right") - 1
     doc, begin = uid[of[piece]], start[of[piece]] + lo[piece] + at - put[piece]
     order = np.lexsort((begin, doc, group))
@@ -269,7 +289,7 @@ def block_repeats(key: np.ndarray, uid: np.ndarray, start: np.ndarray, place: np
     least[1:] = group[1:] != group[:-1]
     lead = np.flatnonzero(least)[np.cumsum(least) - 1]
     again = (doc != doc[lead]) | (begin != begin[lead])
-    return _runs(doc[again], begin[again])
+    return tuple(map(np.concatenate, zip(copies, _runs(doc[again], begin[again]))))
 
 
 def _runs(doc: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -326,41 +346,21 @@ def _numbered(docs: DataFrame, id: str, text: str) -> DataFrame:
     return written(ordered.select(F.monotonically_increasing_id().alias("uid"), "id", "text"), "numbered")
 
 
-def marks(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(uid, lo, hi): runs of starts whose strings also start earlier; ``docs`` is (uid, text)."""
-    sc = docs.sparkSession.sparkContext
-    counts = _pass(docs, "anchor bigint", _counted).groupBy("anchor").count().filter("count > 1")
-    seen = sc.broadcast(_table(counts, "anchor"))
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, h, ...) of (anchor, c, owner, ...): the owner and the hash of context and owner."""
+    for batch in batches:
+        anchor, c, owner = (batch.column(i).to_numpy().view(np.uint64) for i in range(3))
+        h = pa.array(_row_hash(anchor, c, owner.view(np.int64)).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(2), h, *batch.columns[3:]], ["uid", "h", *batch.schema.names[3:]])
 
-    def repeated(ids, offsets, text, ends, hasher, doc, lo, hi, place, anchor, c):
-        keep = _in_table(seen.value, anchor)
-        doc, lo, hi, anchor, c = doc[keep], lo[keep], hi[keep], anchor[keep], c[keep]
-        begin = lo - np.where(doc > 0, ends[doc - 1], 0) + offsets[doc]
-        # of equal contexts within one document only the first can be first
-        key = _row_hash(anchor, c, ids[doc])
-        first = np.zeros(len(key), bool)
-        first[np.unique(key, return_index=True)[1]] = True
-        return [anchor, c, ids[doc], begin, begin + hi - lo, first.astype(np.int64)]
-
-    found = written(_pass(docs, "anchor bigint, c bigint, uid bigint, lo bigint, hi bigint, first bigint", repeated), "contexts")
-    earliest = written(found.groupBy("anchor", "c").agg(F.min("uid").alias("owner"), F.count("*").alias("n")), "first-contexts")
-    several = earliest.filter("n > 1").drop("n")
-    copies = spread_join(found, several, ["anchor", "c"]).filter("uid != owner or first = 0").select("uid", "lo", "hi")
-    open_ = earliest.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    rows = written(spread_join(earliest, open_, ["anchor"]).select("anchor", "c", "owner", (F.col("kinds") > crowd).alias("crowded")), "open-contexts")
-    hashed = rows.mapInArrow(_open_hash, "h bigint, crowded boolean")
-    apart = sc.broadcast(_table(hashed.filter("not crowded"), "h"))
-    dense = sc.broadcast(_table(hashed.filter("crowded"), "h"))
 
-    def bytes_of(ids, offsets, text, ends, hasher, doc, lo, hi, place, anchor, c):
-        keep = _in_table(seen.value, anchor)
-        keep[keep] = _in_table(apart.value, _row_hash(anchor[keep], c[keep], ids[doc[keep]]))
-        doc, lo, hi, place, anchor = doc[keep], lo[keep], hi[keep], place[keep], anchor[keep]
-        begin = lo - np.where(doc > 0, ends[doc - 1], 0) + offsets[doc]
-        raw = text.tobytes()
-        cut = pa.array([raw[s:e] for s, e in zip(lo.tolist(), (hi + LENGTH).tolist())], pa.binary())
-        return [anchor, ids[doc], begin, place - lo, cut]
+def _places(doc: np.ndarray, lo: np.ndarray, ends: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places in a piece as places in their document."""
+    return lo - np.where(doc > 0, ends[doc - 1], 0) + offsets[doc]
+
 
+def _crowded(docs: DataFrame, seen, dense) -> DataFrame:
+    """Marks of crowded anchors: every string of their contexts by its hash, the earliest kept."""
     def strings_of(ids, offsets, text, ends, hasher, doc, lo, hi, place, anchor, c):
         keep = _in_table(seen.value, anchor)
         keep[keep] = _in_table(dense.value, _row_hash(anchor[keep], c[keep], ids[doc[keep]]))
@@ -368,53 +368,140 @@ def marks(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
         n = hi - lo + 1
         at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         doc = np.repeat(doc, n)
-        return [hasher.of(at, at + LENGTH), ids[doc], at - np.where(doc > 0, ends[doc - 1], 0) + offsets[doc]]
+        return [hasher.of(at, at + LENGTH), ids[doc], _places(doc, at, ends, offsets)]
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = _pass(docs, "anchor bigint, uid bigint, start bigint, place bigint, bytes binary", bytes_of)
-    expanded = blocks.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_expand, MARK)
     strings = written(_pass(docs, "h bigint, uid bigint, start bigint", strings_of), "strings")
     owners = strings.groupBy("h").agg(F.min("uid").alias("owner"), F.count("*").alias("n")).filter("n > 1").drop("n")
     shared = spread_join(strings, owners, ["h"])
-    later = shared.filter("uid != owner").select("uid", F.col("start").alias("lo"), F.col("start").alias("hi"))
+    mark = ["uid", F.col("start").alias("lo"), F.col("start").alias("hi")]
     own = shared.filter("uid = owner")
-    least = own.groupBy("h", "uid").agg(F.min("start").alias("least"))
-    again = own.join(least, ["h", "uid"]).filter("start != least").select("uid", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    return copies.union(expanded).union(later).union(again)
+    again = own.join(own.groupBy("h", "uid").agg(F.min("start").alias("least")), ["h", "uid"]).filter("start != least")
+    return shared.filter("uid != owner").select(*mark).union(again.select(*mark))
 
 
-def _open_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        anchor, c, owner = (batch.column(i).to_numpy().view(np.uint64) for i in range(3))
-        yield pa.RecordBatch.from_arrays([pa.array(_row_hash(anchor, c, owner.view(np.int64)).view(np.int64)), batch.column(3)], ["h", "crowded"])
+def _judged(docs: DataFrame, crowd: int | None):
+    """Per uid the contexts it owns (as hashes) and runs of starts that repeat; the table of anchors."""
+    sc = docs.sparkSession.sparkContext
+    counts = _pass(docs, "anchor bigint", _counted).groupBy("anchor").count().filter("count > 1")
+    seen = sc.broadcast(_table(counts, "anchor"))
 
+    def repeated(ids, offsets, text, ends, hasher, doc, lo, hi, place, anchor, c):
+        keep = _in_table(seen.value, anchor)
+        return [anchor[keep], c[keep], ids[doc[keep]]]
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for text, runs in zip(batch.column(1).cast(pa.binary()), batch.column(2)):
-            raw = np.frombuffer(text.as_py(), np.uint8)
-            if runs.is_valid:
-                lo, hi = (runs.values.field(k).to_numpy() for k in range(2))
-                edge = np.zeros(len(raw) + 1, np.int64)
-                np.add.at(edge, lo, 1)
-                np.add.at(edge, hi + LENGTH, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                rows.append((len(raw), int(gone.sum()), spans, hashlib.sha256(raw[~gone].tobytes()).hexdigest(), raw[~gone].tobytes()))
-            else:
-                rows.append((len(raw), 0, 0, hashlib.sha256(raw.tobytes()).hexdigest(), raw.tobytes()))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        columns = list(zip(*rows)) if rows else [[] for _ in kinds]
-        yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, k) for c, k in zip(columns, kinds)],
-                                         ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+    found = _pass(docs, "anchor bigint, c bigint, uid bigint", repeated)
+    earliest = written(found.groupBy("anchor", "c").agg(F.min("uid").alias("owner")), "first-contexts")
+    owned = earliest.mapInArrow(_keyed, "uid bigint, h bigint")
+    open_ = earliest.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    rows = spread_join(earliest, open_, ["anchor"]).select("anchor", "c", "owner", "kinds")
+    rows = written(rows.mapInArrow(_keyed, "uid bigint, h bigint, kinds bigint"), "open-contexts")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if crowd is None:
+        crowd = min(max(CROWD[0], rows.count() // parts), CROWD[1])
+    apart = sc.broadcast(_table(rows.filter(F.col("kinds") <= crowd), "h"))
 
+    def bytes_of(ids, offsets, text, ends, hasher, doc, lo, hi, place, anchor, c):
+        keep = _in_table(seen.value, anchor)
+        keep[keep] = _in_table(apart.value, _row_hash(anchor[keep], c[keep], ids[doc[keep]]))
+        doc, lo, hi, place, anchor = doc[keep], lo[keep], hi[keep], place[keep], anchor[keep]
+        raw = text.tobytes()
+        cut = pa.array([raw[s:e] for s, e in zip(lo.tolist(), (hi + LENGTH).tolist())], pa.binary())
+        return [anchor, ids[doc], _places(doc, lo, ends, offsets), place - lo, cut]
 
-def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
+    blocks = _pass(docs, "anchor bigint, uid bigint, start bigint, place bigint, bytes binary", bytes_of)
+    marks = blocks.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_expand, MARK)
+    dense = rows.filter(F.col("kinds") > crowd)
+    if dense.limit(1).count():
+        marks = marks.union(_crowded(docs, seen, sc.broadcast(_table(dense, "h"))))
+    both = owned.select("uid", "h", F.lit(None).cast("bigint").alias("lo"), F.lit(None).cast("bigint").alias("hi")).union(
+        marks.select("uid", F.lit(None).cast("bigint"), "lo", "hi"))
+    run = F.when(F.col("lo").isNotNull(), F.struct("lo", "hi"))
+    return both.groupBy("uid").agg(F.collect_list("h").alias("owned"), F.collect_list(run).alias("runs")), seen
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the shuffle."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = pa.array([pack(t.as_py()) for t in batch.column(2).cast(pa.binary())], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], ["uid", "id", "packed"])
+
+
+def _groups(sizes: list[int], most: int) -> Iterator[slice]:
+    """Neighbouring rows of together about ``most`` bytes."""
+    first = total = 0
+    for i, size in enumerate(sizes):
+        if i > first and total + size > most:
+            yield slice(first, i)
+            first, total = i, 0
+        total += size
+    if first < len(sizes):
+        yield slice(first, len(sizes))
+
+
+def _gone(uid: np.ndarray, raw: list[bytes], base: np.ndarray, owned: np.ndarray, marks: tuple[np.ndarray, ...],
+          seen: np.ndarray, hasher: Hasher) -> np.ndarray:
+    """Which bytes of some texts, laid end to end from ``base``, are removed: contexts that are another's
+    or come again, and the marked runs (row, first start, last start)."""
+    found = []
+    for ids, offsets, text, ends in pieces(list(range(len(raw))), raw):
+        doc, lo, hi, _, anchor, c = contexts(text, ends, hasher)
+        if len(doc):
+            keep = _in_table(seen, anchor)
+            doc, lo, hi = doc[keep], lo[keep], hi[keep]
+            row, begin = np.array(ids)[doc], _places(doc, lo, ends, offsets)
+            found.append((row, begin, begin + hi - lo, _row_hash(anchor[keep], c[keep], uid[row])))
+    row, lo, hi = marks
+    if found:
+        *place, key = map(np.concatenate, zip(*found))
+        again = np.ones(len(key), bool)
+        again[np.unique(key, return_index=True)[1]] = False
+        again |= ~np.isin(key, owned.view(np.uint64))
+        row, lo, hi = (np.concatenate((a, b[again])) for a, b in zip(marks, place))
+    edge = np.zeros(sum(map(len, raw)) + 1, np.int32)
+    np.add.at(edge, base[row] + lo, 1)
+    np.add.at(edge, base[row] + hi + LENGTH, -1)
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
+
+
+def _results(uid: np.ndarray, raw: list[bytes], owned: pa.ListArray, runs: pa.ListArray, seen: np.ndarray, hasher: Hasher) -> list[tuple]:
+    """(n_bytes, n_removed, n_spans, kept_sha256, kept) of each text."""
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    base = np.cumsum(size) - size
+    flat = runs.flatten()
+    row = np.repeat(np.arange(len(raw)), pc.fill_null(pc.list_value_length(runs), 0).to_numpy())
+    marks = row, *(flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+    gone = _gone(uid, raw, base, owned.flatten().to_numpy(zero_copy_only=False).astype(np.int64), marks, seen, hasher)
+    out = []
+    for b, n, text in zip(base.tolist(), size.tolist(), raw):
+        part = gone[b:b + n]
+        removed = int(np.count_nonzero(part))
+        spans = 0
+        if removed:
+            spans = int(part[0]) + int(np.count_nonzero(part[1:] & ~part[:-1]))
+            text = np.frombuffer(text, np.uint8)[~part].tobytes()
+        out.append((n, removed, spans, hashlib.sha256(text).hexdigest(), text))
+    return out
+
+
+def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", crowd: int | None = None) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row; ``kept`` are the remaining bytes."""
     numbered = _numbered(docs, id, text)
-    found = marks(numbered.select("uid", "text"), crowd)
-    runs = found.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    judged, seen = _judged(numbered.select("uid", "text"), crowd)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, hasher = zstandard.ZstdDecompressor().decompress, Hasher()
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+        for batch in batches:
+            texts = batch.column(2)
+            for part in _groups([3 * len(t.as_buffer()) for t in texts], GROUP):
+                some = batch.slice(part.start, part.stop - part.start)
+                raw = [unpack(t.as_py()) for t in some.column(2)]
+                rows = _results(some.column(0).to_numpy(), raw, some.column(3), some.column(4), seen.value, hasher)
+                yield pa.RecordBatch.from_arrays([some.column(1)] + [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
     kind = docs.schema[id].dataType.simpleString()
-    return numbered.join(runs, "uid", "left").select("id", "text", "runs").mapInArrow(
-        _kept, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    packed = numbered.select("uid", "id", "text").mapInArrow(_packed, f"uid bigint, id {kind}, packed binary")
+    return packed.join(judged, "uid", "left").select("uid", "id", "packed", "owned", "runs").mapInArrow(
+        kept, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")

@@ -1,24 +1,32 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words lose their outer punctuation; numbers, names (a capital and small letters) and units become typed
-placeholders, everything else is lower-cased. A window of ``WINDOW`` such tokens is a template; benchmark
-items and documents are joined on equal windows. Windows that match along one diagonal (document position
-minus item position) are laid together: what fills the placeholders must map one to one from the item to
-the document, which a copy does and a re-parameterised question does too, while texts that merely share a
-frame don't. A document is contaminated by an item if the windows cover ``MIN_COVER`` of its tokens.
+placeholders, everything else is lower-cased. Names that follow each other are one placeholder. A run of
+tokens is a template; beside this typed form runs with names are also taken with the names lower-cased, so that
+copies in other case are met. A run of numbers and units alone is taken as it is written. Runs have at most
+``WINDOW`` tokens and a third of the item's, ``MIN_SIZE`` at least, so that an edited word leaves some on both sides.
+
+Benchmark items and documents are joined on equal runs. Those of one item in one document are chained as long
+as they advance in both; from one to the next the diagonal (document position minus item position) may
+shift by WINDOW words or a quarter of the item, so words can be inserted, dropped or changed. What fills the
+placeholders of a chain must map one to one from the item to the document, which a copy does and a re-parameterised
+question does too, while texts that merely share a frame don't. A document is contaminated by an item if a
+chain covers ``MIN_COVER`` of its words.
 
 Windows of a document are first held against a bit table of the benchmark's window hashes. It has a fixed
 size (``BITS``) and is broadcast; a fuller table lets more windows through, the join is exact either way.
-Nothing else of the benchmark reaches the driver.
+Nothing else of the benchmark reaches the driver. The runs that one document shares with one item are chained in one
+place; there are about as many as the document has words in common with it.
 
 An item with fewer than ``MIN_LITERAL`` tokens that are no placeholders says too little and matches
-nothing; one shorter than a window is its own window. Null and empty texts match nothing, null ids of
-documents stay null in the result, repeated items are reported each, repeated documents once. Empty tables give no rows.
+nothing. Null and empty texts match nothing, null ids of documents stay null in the result, repeated items are
+reported each, repeated documents once. Empty tables give no rows.
 """
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +37,7 @@ from pyspark.sql import functions as F
 from docaudit.llm.common import fresh, spread_join, written
 
 WINDOW = 8
+MIN_SIZE = 3
 MIN_LITERAL = 3
 MIN_COVER = 0.6
 BITS = 24
@@ -42,7 +51,9 @@ UNITS = frozenset((
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _NUMBER = re.compile(r"[0-9]+(?:[.,:/][0-9]+)*")
 _MULTIPLIER = 0x9E3779B97F4A7C15
-WINDOWS = "pos int, size int, hash bigint, template string, words array<string>, n int"
+WINDOWS = "doc bigint, pos int, size int, hash bigint, template string, words array<string>, n int"
+#: Words that are looked at together; a longer text is taken whole.
+CHUNK = 100_000
 
 
 def token(word: str) -> tuple[str, str]:
@@ -61,61 +72,126 @@ def token(word: str) -> tuple[str, str]:
 
 
 class Tokens:
-    """Canonical hash of every word of a text; remembers words it has met."""
+    """Canonical hashes and class of every word of a list; remembers words it has met."""
 
     def __init__(self) -> None:
-        self.codes: dict[str, int] = {}
-
-    def __call__(self, text: str) -> tuple[list[str], np.ndarray]:
-        """Words that aren't punctuation alone, and the hash of each one's canonical form."""
-        codes, words = self.codes, text.split()
-        if len(codes) > 400_000:
-            codes.clear()
-        for word in set(words).difference(codes):
-            form = token(word)[1]
-            codes[word] = xxhash.xxh64_intdigest(form.encode("utf-8", "replace")) | 1 if form else 0
-        found = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
-        if not found.all():
-            words = [w for w, c in zip(words, found.tolist()) if c]
-            found = found[found != 0]
-        return words, found
-
-
-def _rolled(codes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every run of ``size`` codes, modulo 2^64."""
-    total = np.zeros(len(codes) - size + 1, np.uint64)
-    for j in range(size):
-        total = total * np.uint64(_MULTIPLIER) + codes[j:j + len(total)]
-    total ^= total >> np.uint64(29)
-    return total * np.uint64(_MULTIPLIER)
+        self.known: dict[str, int] = {}
+        self.codes = np.zeros((3, 1 << 16), np.uint64)  # typed, lower-cased but for numbers and units, as written
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        """Three rows, the hashes of each word."""
+        known = self.known
+        if len(known) > 400_000:
+            known.clear()
+        for word in set(words).difference(known):
+            at = known[word] = len(known)
+            if at >= self.codes.shape[1]:
+                self.codes = np.concatenate((self.codes, np.zeros_like(self.codes)), axis=1)
+            bare, form = token(word)
+            codes = [_code(form), _code(form if form in (NUMBER, UNIT) else bare.lower()), _code(bare.lower())] if form else [0, 0, 0]
+            self.codes[:, at] = codes
+        return self.codes[:, np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
+
+
+def _code(form: str) -> int:
+    return xxhash.xxh64_intdigest(form.encode("utf-8", "replace")) | 1
+
+
+def _rolled(codes: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For every size, the hash of every run of so many codes, modulo 2^64."""
+    total = np.zeros(len(codes), np.uint64)
+    for j in range(max(sizes, default=0)):
+        if j >= len(codes):
+            return
+        total = total[:len(codes) - j] * np.uint64(_MULTIPLIER) + codes[j:]
+        if j + 1 in sizes:
+            mixed = total ^ (total >> np.uint64(29))
+            yield j + 1, mixed * np.uint64(_MULTIPLIER)
+
+
+def size_of(n: int) -> int:
+    """Tokens of a run of an item of ``n`` words."""
+    return min(n, WINDOW, max(MIN_SIZE, n // 3))
+
+
+def runs_of(words: list[str], of: np.ndarray, codes: np.ndarray, sizes: list[int],
+            table: np.ndarray | None) -> Iterator[tuple[int, int, int, int, str, list[str]]]:
+    """(text, word, size, hash, template, words) of all runs of the sizes that the table knows.
+
+    ``of`` is the text of each word, ``codes`` its hashes.
+    """
+    n = len(words)
+    if not n:
+        return
+    typed, plain, written_ = codes
+    name, open_ = typed == np.uint64(_code(NAME)), (typed == np.uint64(_code(NUMBER))) | (typed == np.uint64(_code(UNIT)))
+    first = np.ones(n, bool)
+    first[1:] = ~(name[1:] & name[:-1] & (of[1:] == of[:-1]))
+    starts = np.flatnonzero(first)
+    ends = np.append(starts[1:], n)
+    each = np.arange(n)
+    sums = lambda mask: np.concatenate(([0], np.cumsum(mask)))
+    literal, names, closed = sums(~(name | open_)[starts]), sums(name), sums(~open_)
+    streams = ((typed[starts], starts, ends, lambda p, k: literal[p + k] > literal[p], lambda w: token(w[0])[1]),
+               (plain, each, each + 1, lambda p, k: names[p + k] > names[p],
+                lambda w: f if (f := token(w[0])[1]) in (NUMBER, UNIT) else token(w[0])[0].lower()),
+               (written_, each, each + 1, lambda p, k: closed[p + k] == closed[p], lambda w: token(w[0])[0].lower()))
+    for codes, begin, end, wanted, form in streams:
+        owner = of[begin]
+        for size, hashes in _rolled(codes, sizes):
+            p = np.arange(len(hashes))
+            p = p[(owner[:len(hashes)] == owner[size - 1:]) & wanted(p, size)]
+            if table is not None:
+                bit = hashes[p] >> np.uint64(64 - BITS)
+                p = p[((table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)]
+            for at in p.tolist():
+                parts = [words[b:e] for b, e in zip(begin[at:at + size].tolist(), end[at:at + size].tolist())]
+                yield (int(owner[at]), int(begin[at]), size, int(hashes[at].view(np.int64)), " ".join(map(form, parts)),
+                       [" ".join(token(w)[0] for w in part) for part in parts])
 
 
 def _windows(texts: DataFrame, sizes: list[int] | None, table: np.ndarray | None) -> DataFrame:
-    """Windows of (id, text): of all texts their own size without ``sizes``, else those the table knows."""
+    """Runs of (id, text): of all texts those of their own size without ``sizes``, else those the table knows."""
     sent = None if table is None else texts.sparkSession.sparkContext.broadcast(table)
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.int32()]
+    names = ["id", *(f.split()[0] for f in WINDOWS.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.int32()]
-        names = ["id", *(f.split()[0] for f in WINDOWS.split(", "))]
+
+        def flush(held: list[tuple[int, list[str], int]]) -> Iterator[tuple]:
+            words = [w for _, t, _ in held for w in t]
+            of = np.repeat(np.arange(len(held)), [len(t) for _, t, _ in held])
+            codes = tokens(words)
+            if not codes[0].all():
+                there = codes[0] != 0
+                words, of, codes = list(compress(words, there.tolist())), of[there], codes[:, there]
+            counts = np.bincount(of, minlength=len(held))
+            base, counts = (np.cumsum(counts) - counts).tolist(), counts.tolist()
+            mine = sizes
+            if mine is None:  # one item
+                forms = [token(w)[1] for w in words]
+                if sum(f not in (NUMBER, NAME, UNIT) for f in forms) < MIN_LITERAL:
+                    return
+                size = size_of(len(words))
+                mine = sorted({size, min(size, len(words) - sum(f == g == NAME for f, g in zip(forms, forms[1:])))})
+            for i, at, *rest, bare in runs_of(words, of, codes, mine, None if sent is None else sent.value):
+                yield held[i][0], (held[i][2], at - base[i], *rest, bare, counts[i])
+
         for batch in batches:
-            ids, rows = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                words, codes = tokens(text or "")
-                for size in [min(WINDOW, len(words))] if sizes is None else sizes:
-                    if not 0 < size <= len(words):
-                        continue
-                    hashes = _rolled(codes, size)
-                    if sent is None:
-                        at = np.arange(len(hashes))
-                    else:
-                        bit = hashes >> np.uint64(64 - BITS)
-                        at = np.flatnonzero((sent.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
-                    for p in at.tolist():
-                        bare, form = zip(*map(token, words[p:p + size]))
-                        if sum(f not in (NUMBER, NAME, UNIT) for f in form) * WINDOW >= MIN_LITERAL * size:
-                            ids.append(i)
-                            rows.append((p, size, int(hashes[p].view(np.int64)), " ".join(form), list(bare), len(words)))
+            ids, rows, held, n = [], [], [], 0
+            column = batch.column(1)
+            for i in range(len(column)):
+                text = column[i].as_py() or ""
+                words = text.split()
+                if words:
+                    held.append((i, words, xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)))
+                    n += len(words)
+                if held and (sizes is None or n >= CHUNK or i + 1 == len(column)):
+                    for at, row in flush(held):
+                        ids.append(at)
+                        rows.append(row)
+                    held, n = [], 0
             columns = list(zip(*rows)) if rows else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64()))] + [
                 pa.array(c, k) for c, k in zip(columns, kinds)], names)
@@ -134,28 +210,113 @@ def _bit_table(windows: DataFrame) -> np.ndarray:
     return table
 
 
+def _length(words: list[str]) -> int:
+    return sum(w.count(" ") + 1 for w in words)
+
+
+def chained(runs: list[dict], n: int, min_cover: float) -> tuple[float, bool] | None:
+    """Cover and exactness of an item of ``n`` words by the runs it shares with a document, None if too little fits."""
+    # [item from, to, document from, to, members]; runs that go on along one diagonal are laid together
+    laid: list[list] = []
+    key = lambda r: (r["pos"] - r["ipos"], r["ipos"], r["pos"])
+    for r in sorted(runs, key=key):
+        a, d = r["ipos"], r["pos"]
+        x, y = a + _length(r["filled"]), d + _length(r["words"])
+        last = laid[-1] if laid else None
+        if last and last[0] - last[2] == a - d == last[1] - last[3] and a <= last[1] and x - y == a - d:
+            last[1], last[3] = max(last[1], x), max(last[3], y)
+            last[4].append(r)
+        else:
+            laid.append([a, x, d, y, [r]])
+    laid.sort(key=lambda z: (z[2], z[0]))
+    shift = max(WINDOW, n // 4)
+    longest = max((z[3] - z[2] for z in laid), default=0)
+    score, before = [z[1] - z[0] for z in laid], [-1] * len(laid)
+    for j, (a, x, d, y, _) in enumerate(laid):
+        for i in range(j - 1, -1, -1):
+            b, u, e, v, _ = laid[i]
+            if e + longest + n + shift < d:
+                break
+            if b < a and e < d and u < x and v < y and abs((d - a) - (v - u)) <= shift:
+                gain = min(x - max(a, u), y - max(d, v))
+                if gain > 0 and score[i] + gain > score[j]:
+                    score[j], before[j] = score[i] + gain, i
+    best = None
+    for j in sorted(range(len(laid)), key=lambda j: -score[j]):
+        if score[j] < min_cover * n or best and best[1] and score[j] <= best[0] * n:
+            break
+        chain, i = [], j
+        while i >= 0:
+            chain.append(laid[i])
+            i = before[i]
+        found = _slots(chain, n)
+        if found and found[0] >= min_cover:
+            best = found if best is None else (max(best[0], found[0]), best[1] or found[1])
+    return best
+
+
+def _slots(chain: list[list], n: int) -> tuple[float, bool] | None:
+    """Cover and exactness of a chain, None if its placeholders don't map one to one."""
+    met: set[int] = set()
+    theirs: dict[tuple, str] = {}
+    ours: dict[tuple, str] = {}
+    exact = True
+    for k, (_, _, _, _, members) in enumerate(chain):
+        # where two neighbours overlap, either alignment may be meant: no word on slots there
+        near = [chain[m] for m in (k - 1, k + 1) if 0 <= m < len(chain)]
+        for r in members:
+            a, d = r["ipos"], r["pos"]
+            for form, t, o in zip(r["template"].split(" "), r["filled"], r["words"]):
+                met.update(range(a, a + t.count(" ") + 1))
+                if form in (NUMBER, NAME, UNIT) and not any(z[0] <= a < z[1] and not _same(z, a, d) for z in near):
+                    t_, o_ = t.lower(), o.lower()
+                    exact &= t_ == o_
+                    if theirs.setdefault((form, t_), o_) != o_ or ours.setdefault((form, o_), t_) != t_:
+                        return None
+                a, d = a + t.count(" ") + 1, d + o.count(" ") + 1
+    return len(met) / n, exact
+
+
+def _same(run: list, a: int, d: int) -> bool:
+    """Whether the run lays the item's word on this one of the document."""
+    for r in run[4]:
+        x, y = r["ipos"], r["pos"]
+        for t, o in zip(r["filled"], r["words"]):
+            if x == a and y == d:
+                return True
+            x, y = x + t.count(" ") + 1, y + o.count(" ") + 1
+    return False
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id",
                  item_text: str = "text", min_cover: float = MIN_COVER) -> DataFrame:
-    """(id, item, cover, exact): documents that hold an item, the share of its tokens found, and whether
-    what fills its placeholders is the same (else it was re-parameterised)."""
+    """(id, item, cover, exact): documents that hold an item, the share of its words found, and whether
+    what fills its placeholders is the same but for case (else it was re-parameterised)."""
     items = benchmark.select(F.col(item).alias("id"), F.col(item_text).alias("text"))
     known = written(_windows(items, None, None), "benchmark-windows")
     sizes = sorted(r[0] for r in known.select("size").distinct().collect())
     found = _windows(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), sizes, _bit_table(known))
-    known = known.select(F.col("id").alias("item"), F.col("pos").alias("ipos"), "size", "hash", "template", F.col("words").alias("filled"), F.col("n").alias("n_item"))
-    met = spread_join(found.drop("n"), known, ["hash", "size", "template"]).withColumn("diagonal", F.col("pos") - F.col("ipos"))
-    place = ["id", "item", "diagonal"]
-    slot = F.posexplode(F.arrays_zip(F.split("template", " ").alias("form"), F.col("filled").alias("theirs"), F.col("words").alias("ours")))
-    each = met.select(*place, "n_item", "ipos", slot.alias("j", "slot")).select(
-        *place, "n_item", (F.col("ipos") + F.col("j")).alias("at"), "slot.*").distinct()
-    open_ = F.col("form").isin(NUMBER, NAME, UNIT)
-    theirs, ours = F.when(open_, F.struct("form", "theirs")), F.when(open_, F.struct("form", "ours"))
-    runs = each.groupBy(*place).agg(
-        (F.countDistinct("at") / F.max("n_item")).alias("cover"), F.countDistinct(theirs).alias("a"), F.countDistinct(ours).alias("b"),
-        F.countDistinct(F.when(open_, F.struct("form", "theirs", "ours"))).alias("pairs"),
-        F.min(~open_ | (F.col("theirs") == F.col("ours"))).alias("exact"))
-    fits = (F.col("a") == F.col("pairs")) & (F.col("b") == F.col("pairs")) & (F.col("cover") >= min_cover)
-    return runs.filter(fits).groupBy("id", "item").agg(F.max("cover").alias("cover"), F.max("exact").alias("exact"))
+    known = known.select(F.col("id").alias("item"), F.col("doc").alias("of"), F.col("pos").alias("ipos"), "size", "hash", "template", F.col("words").alias("filled"), F.col("n").alias("n_item"))
+    met = spread_join(found.drop("n"), known, ["hash", "size", "template"])
+    groups = met.groupBy("id", "doc", "item", "of").agg(
+        F.collect_set(F.struct("pos", "ipos", "template", "filled", "words")).alias("runs"), F.max("n_item").alias("n_item"))
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, covers, exacts = [], [], []
+            runs, n = batch.column(2), batch.column(3)
+            for i in range(batch.num_rows):
+                best = chained(runs[i].as_py(), n[i].as_py(), min_cover)
+                if best:
+                    at.append(i)
+                    covers.append(best[0])
+                    exacts.append(best[1])
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(covers, pa.float64()),
+                                              pa.array(exacts, pa.bool_())], ["id", "item", "cover", "exact"])
+    kinds = [groups.schema[c].dataType.simpleString() for c in ("id", "item")]
+    laid = groups.select("id", "item", "runs", "n_item").mapInArrow(chain, f"id {kinds[0]}, item {kinds[1]}, cover double, exact boolean")
+    return laid.groupBy("id", "item").agg(F.max("cover").alias("cover"), F.max("exact").alias("exact"))
 
 
 def clean_of(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id",

@@ -341,6 +341,23 @@ def test_templates_catch_copies_and_new_parameters(spark):
     assert decontaminate.contaminated(docs_of(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_edited_and_lower_cased_copies_of_items_are_met(spark):
+    item = "Anna buys 12 kg of apples and 3 litres of milk, then Bob takes 12 kg from Anna. How many are left?"
+    short = "the old mill by the river turns slowly when autumn rain has filled every small pond"
+    edited = []
+    for text in (item, short):
+        w = text.split()
+        k = len(w) // 2
+        edited += [w[:k] + ["indeed"] + w[k:], w[:k] + w[k + 1:], w[:k] + ["indeed"] + w[k + 1:]]
+    texts = [prose(i, 30) + " " + " ".join(w) + " " + prose(i + 9, 30) for i, w in enumerate(edited)]
+    numbers = "code 3 5 8 13 21 34 55 89 144 233 377 610 987 of the list"
+    texts += [item.lower(), short.upper(), item.replace("Anna", "Anna Maria"), numbers, item.replace("Anna", "Cleo") + " " + item.replace("Anna", "Dan")]
+    bench = spark.createDataFrame([(0, item), (1, short), (2, numbers)], "item_id bigint, text string")
+    rows = {(r.id, r.item): r.exact for r in decontaminate.contaminated(docs_of(spark, texts), bench).collect()}
+    assert set(rows) == {(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 1), (6, 0), (7, 1), (8, 0), (9, 2), (10, 0)}
+    assert rows[6, 0] and not rows[8, 0] and not rows[10, 0]
+
+
 # classifiers
 
 def test_linear_time_pairs_equal_all_pairs():

@@ -2,8 +2,10 @@
 
 Each text is the first layer of a worklist. A layer is searched for the three kinds of secrets, then
 unwrapped: percent escapes and Unicode escapes of the whole layer, every base64 run that holds text or
-a compressed stream (gzip, zlib, bzip2, xz, also one inside another). What comes out is a layer more,
-until nothing new appears. A layer that repeats one of the same place is not taken again, which ends
+a compressed stream (gzip, zlib, bzip2, xz, also one inside another, all members of one with several). Of a
+run that is not text as a whole, every one of the four phases is decoded and searched for text of ``MIN_TEXT``
+characters and for streams, so that what stands directly before or after doesn't matter; no secret is shorter.
+Runs that go on over lines are also taken joined. What comes out is a layer more, until nothing new appears. A layer that repeats one of the same place is not taken again, which ends
 cycles such as a compressed stream that contains itself. Every layer knows the piece of its parent each
 character comes from, so a find in any depth is reported as a span of the original text.
 
@@ -35,6 +37,11 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]++={0,2}")
+MIN_TEXT = 16
+READABLE = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){%d,}+" % MIN_TEXT)
+STREAM = re.compile(rb"(?=\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00)")
 MIN_VALUE = 12
 MAX_UNPACKED = 64 * 1024 * 1024
 SCHEMA = ("n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, "
@@ -123,17 +130,23 @@ STREAMS = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"\x78\x01", lambda:
 
 
 def unpack(data: bytes, limit: int = MAX_UNPACKED) -> tuple[bytes | None, bool]:
-    """The unpacked bytes, None if it is no stream; whether the stream held more than the limit."""
-    for start, make in STREAMS:
-        if data.startswith(start):
-            try:
-                stream = make()
-                out = stream.decompress(data, limit)
-                rest = getattr(stream, "unconsumed_tail", b"") or not stream.eof and not getattr(stream, "needs_input", True)
-                return out, bool(rest)
-            except (zlib.error, OSError, lzma.LZMAError, EOFError):
-                return None, False
-    return None, False
+    """The unpacked bytes of all members, None if it is no stream; whether they held more than the limit."""
+    out: list[bytes] = []
+    size, cut = 0, False
+    while make := next((make for start, make in STREAMS if data.startswith(start)), None):
+        if out and size >= limit:
+            return b"".join(out), True
+        try:
+            stream = make()
+            out.append(stream.decompress(data, limit - size))
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+            break
+        size += len(out[-1])
+        if not stream.eof:
+            cut = bool(getattr(stream, "unconsumed_tail", b"") or not getattr(stream, "needs_input", True))
+            break
+        data = stream.unused_data.lstrip(b"\0")
+    return (b"".join(out), cut) if out else (None, False)
 
 
 def _readable(data: bytes) -> str | None:
@@ -144,33 +157,59 @@ def _readable(data: bytes) -> str | None:
     return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
 
 
-def _base64(layer: Layer) -> Iterator[tuple[Layer, bool]]:
-    """A layer for every run that holds text or a compressed stream; whether the stream was cut."""
-    for m in BASE64.finditer(layer.text):
-        run = m.group().rstrip("=")
-        if len(run) % 4 == 1:
-            run = run[:-1]
+def _bytes(run: str) -> bytes:
+    if len(run) % 4 == 1:
+        run = run[:-1]
+    return base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
+
+
+def _unpacked(data: bytes, layer: Layer, start: int, end: int) -> Iterator[tuple[Layer, bool]]:
+    """A layer for the stream that begins the data and for every one inside it."""
+    out, cut = unpack(data)
+    seen = {data}
+    while out is not None and out not in seen:
+        seen.add(out)
+        try:
+            text = out.decode("utf-8")
+        except UnicodeDecodeError:
+            text = out.decode("latin-1")
+        if text:
+            yield Layer(text, layer, [(0, start, end, None)]), cut
+        out, cut = unpack(out)
+
+
+def _run(layer: Layer, start: int, end: int) -> Iterator[tuple[Layer, bool]]:
+    """The layers of one base64 run."""
+    run = layer.text[start:end].rstrip("=")
+    for phase in range(4):
         try:
-            data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
+            data = _bytes(run[phase:])
         except binascii.Error:
             continue
-        out, cut = unpack(data)
-        if out is None:
-            text = _readable(data)
-            if text is not None:
-                step = 3 if text.isascii() else None
-                yield Layer(text, layer, [(0, m.start(), m.end(), step)]), False
-            continue
-        seen = {data}
-        while out is not None and out not in seen:
-            seen.add(out)
-            try:
-                text = out.decode("utf-8")
-            except UnicodeDecodeError:
-                text = out.decode("latin-1")
-            if text:
-                yield Layer(text, layer, [(0, m.start(), m.end(), None)]), cut
-            out, cut = unpack(out)
+        if phase == 0 and (text := _readable(data)) is not None and unpack(data)[0] is None:
+            yield Layer(text, layer, [(0, start, end, 3 if text.isascii() else None)]), False
+            return
+        at = start + phase
+        for m in READABLE.finditer(data):
+            text = m.group().decode("utf-8", "replace")
+            first, last = at + m.start() // 3 * 4, min(at + (m.end() + 2) // 3 * 4, end)
+            pieces = [(-(m.start() % 3), first, last, 3)] if text.isascii() else [(0, first, last, None)]
+            yield Layer(text, layer, pieces), False
+        for m in STREAM.finditer(data):
+            yield from _unpacked(data[m.start():], layer, at + m.start() // 3 * 4, end)
+
+
+def _base64(layer: Layer) -> Iterator[tuple[Layer, bool]]:
+    """A layer for all that base64 runs hold, text or a compressed stream; whether the stream was cut."""
+    for m in BASE64.finditer(layer.text):
+        yield from _run(layer, m.start(), m.end())
+    for m in WRAPPED.finditer(layer.text) if "\n" in layer.text else ():
+        pieces, size, lines = [], 0, []
+        for line in RUN.finditer(layer.text, m.start(), m.end()):
+            pieces.append((size, line.start(), line.end(), 0))
+            lines.append(line.group())
+            size += len(lines[-1])
+        yield from _run(Layer("".join(lines), layer, pieces), 0, size)
 
 
 def scan(text: str) -> tuple[list[Span], list[Span], int, int]:

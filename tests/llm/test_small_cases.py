@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 import base64
+import bz2
 import gzip
 import hashlib
 import random
@@ -248,6 +249,27 @@ def test_bombs_are_cut():
     assert secrets.unpack(gzip.compress(b"a" * 1000), 1000)[0] == b"a" * 1000
 
 
+def test_runs_with_neighbours_lines_and_members_are_unwrapped():
+    b64 = base64.b64encode(KEY.encode()).decode()
+    packed = base64.b64encode(gzip.compress(KEY.encode())).decode()
+    for before in ("/cb/", "/api/", "key_", "x-", "/a/b/", "abc", "v1-", "q"):
+        for hidden in (b64, packed, b64.rstrip("=") + "/next"):
+            text = f"see {before}{hidden} end"
+            found = [s for s in secrets.scan(text)[1] if s[1] == 0]
+            assert found and all(4 <= s and e <= len(text) - 4 for s, _, e in found), (before, hidden)
+            assert not secrets.scan(secrets.redacted(text))[1]
+    long = b"".join(b"line %d of it\n" % (i * i) for i in range(40)) + KEY.encode() + b"\nand more of it" * 3
+    for end in ("\n", "\r\n", "\n  "):
+        for data in (b"x" * 51 + KEY.encode() + b"y" * 9, gzip.compress(long), bz2.compress(long)):
+            text = base64.b64encode(data).decode()
+            text = "Content\n\n" + end.join(text[i:i + 76] for i in range(0, len(text), 76)) + "\n\nend"
+            start, _, stop = next(s for s in secrets.scan(text)[1] if s[1] == 0 and s[2] - s[0] >= len(KEY))
+            assert start >= 9 and stop <= len(text) - 5 and not secrets.scan(secrets.redacted(text))[1]
+    for two in (gzip.compress(b"first ") + gzip.compress(KEY.encode()), bz2.compress(b"first ") + bz2.compress(KEY.encode())):
+        assert secrets.unpack(two) == (b"first " + KEY.encode(), False) and secrets.unpack(two, 6) == (b"first ", True)
+        assert any(k == 0 for _, k, _ in secrets.scan(base64.b64encode(two).decode())[1])
+
+
 # PII
 
 def luhn(digits):

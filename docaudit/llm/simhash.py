@@ -58,15 +58,18 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fp) per row; null texts count as empty."""
+def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", marked: bool = False) -> DataFrame:
+    """(id, fp) per row, with the hash of its text as ``mark`` if asked for; null texts count as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             found = pa.array([fingerprint(t.as_py()) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["id", "fp"])
+            more = [batch.column(2)] if marked else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), found, *more], ["id", "fp", "mark"][:2 + marked])
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    mark = [F.xxhash64(text).alias("mark")] if marked else []
+    return docs.select(F.col(id).alias("id"), F.col(text).alias("text"), *mark).mapInArrow(
+        run, f"id {kind}, fp bigint" + ", mark bigint" * marked)
 
 
 def _block(fp: Column, block: tuple[int, int]) -> Column:
@@ -189,26 +192,28 @@ def near_links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return sorted_.mapInArrow(_link, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """(id, fp, component) per row: its fingerprint and the smallest id reachable over links.
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", chunk: int = CHUNK,
+                    marked: bool = False) -> DataFrame:
+    """(id, fp, component) per row: its fingerprint and the smallest id reachable over links; with ``mark`` if asked for.
 
     Null texts count as empty; all texts without a word share fingerprint zero and so one class. Null
     ids belong to the class of their fingerprint and never name it (a class of null ids only has a
     null name). Repeated rows stay. An empty table gives an empty one; other columns are not read.
     """
-    found = written(fingerprints(docs, id, text), "fingerprints")
+    found = written(fingerprints(docs, id, text, marked), "fingerprints")
     distinct = written(found.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
     roots = components(near_links(distinct, chunk), "a", "b").withColumnRenamed("node", "fp")
     classes = spread_join(distinct, roots, ["fp"], "left").withColumn("root", F.coalesce("root", "fp"))
     names = classes.groupBy("root").agg(F.min("least").alias("component"))
     named = spread_join(classes.select("fp", "root"), names, ["root"]).select("fp", "component")
-    return spread_join(found, named, ["fp"]).select("id", "fp", "component")
+    return spread_join(found, named, ["fp"]).select("id", "fp", "component", *["mark"] * marked)
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that name their class: one document of each, that with the smallest id.
-    Rows with a null id stay, and so do all rows that repeat the kept id."""
-    root, key = fresh(docs, "__root"), fresh(docs, "__key")
-    gone = near_duplicates(docs, id, text).filter("id != component").select(
-        F.col("id").alias(key), F.lit(True).alias(root)).distinct()
-    return docs.withColumn(key, F.col(id)).join(gone, key, "left_anti").select(*docs.columns)
+    Rows with a null id stay, and so do all rows of the class that repeat the kept id. Rows that share an
+    id are judged by their texts, each by its own class."""
+    mark, key = fresh(docs, "__mark"), fresh(docs, "__key")
+    gone = near_duplicates(docs, id, text, marked=True).filter("id != component").select(
+        F.col("id").alias(key), F.col("mark").alias(mark)).distinct()
+    return docs.withColumns({key: F.col(id), mark: F.xxhash64(text)}).join(gone, [key, mark], "left_anti").select(*docs.columns)

@@ -140,6 +140,14 @@ def test_duplicates_nulls_and_empties(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    a, b = prose(50, 60), prose(51, 60)
+    rows = [(3, a), (5, a), (5, b), (7, b)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("__mark", F.lit("mine"))
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, a), (5, b)]
+
+
 def test_components_of_a_long_path_and_none(spark):
     path = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {tuple(r) for r in components(path, "a", "b").collect()} == {(i, 0) for i in range(201)}

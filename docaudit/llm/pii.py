@@ -2,7 +2,9 @@
 
 Candidates are found by pattern and then validated: payment cards by length and Luhn digit, IBANs (of digits) by their
 remainder modulo 97, social security numbers and phone numbers by their parts, IPv4 addresses and dates by
-their ranges; e-mail addresses by form. What fails stays as it is. A valid value is put through a keyed
+their ranges; e-mail addresses by form. Where digit groups stand side by side (a card and its code, a number and
+a date), a candidate that fails is tried again in parts: from each group on the longest run of groups that is valid.
+What fails stays as it is. A valid value is put through a keyed
 Feistel network on exactly its own format: the halves of its digits are mixed in turn with a keyed hash of
 the other half, and a check digit is computed anew, so a card number becomes another valid card number with
 the same separators, a date another date of the same calendar and layout. The network is a permutation:
@@ -31,10 +33,14 @@ DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9
 IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 PHONE = r"\+[0-9]{1,3}[ -]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ -]?[0-9]{3,4}[ -]?[0-9]{3,4}"
-CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
+#: Digit groups side by side, which may hold more than a card.
+CARD = r"[0-9](?:[ -]?[0-9]){12,198}"
+#: Digit groups and separators of the longest value that is looked for in parts of a candidate.
+MAX_PARTS = 37
 #: Kinds in the order in which they are tried at one place.
 KINDS = (("email", EMAIL), ("iban", IBAN), ("date", DATE), ("ipv4", IPV4), ("ssn", SSN), ("phone", PHONE), ("card", CARD))
-CANDIDATE = r"(?<![A-Za-z0-9])(?:" + "|".join(p for _, p in KINDS) + r")(?![A-Za-z0-9])"
+CANDIDATE = r"(?<![A-Za-z0-9])(?:" + "|".join(p for _, p in KINDS) + (
+    r")(?:(?![A-Za-z0-9])|(?<=[0-9]{4}-[0-9]{2}-[0-9]{2})(?=T[0-9]{2}))")
 
 
 def _digits(value: Column) -> Column:
@@ -179,6 +185,34 @@ def kind_of(value: Column) -> Column:
     return out
 
 
+def parts_of(value: Column) -> Column:
+    """(v, kind) of the parts of a candidate, whose texts together are the candidate: itself if it is valid, else
+    from each group on the longest run that is. A card within more digits begins with 2 to 6, as payment cards do."""
+    item = lambda v, kind: F.struct(v.alias("v"), kind.alias("kind"))
+    none = F.lit(None).cast("string")
+
+    def inner(v: Column) -> Column:
+        return _let(kind_of(v), lambda k: F.when(~((k == "card") & ~v.rlike("^[2-6]")), k))
+
+    def walk(parts: Column) -> Column:
+        n = F.size(parts)
+        text = lambda i, j: F.array_join(F.slice(parts, i, j - i + 1), "")
+
+        def longest(i: Column) -> Column:
+            """The longest valid run from here, else the part alone."""
+            tried = F.transform(F.sequence(F.least(n, i + MAX_PARTS - 1), i, F.lit(-1)), lambda j: F.struct(
+                j.alias("j"), item(text(i, j), inner(text(i, j))).alias("x")))
+            return F.coalesce(F.get(F.filter(tried, lambda t: t["x"]["kind"].isNotNull()), 0),
+                              F.struct(i.alias("j"), item(text(i, i), none).alias("x")))
+        start = F.struct(F.array().cast("array<struct<v:string,kind:string>>").alias("out"), F.lit(1).alias("at"))
+        return F.aggregate(F.sequence(F.lit(1), n), start, lambda s, i: F.when(i < s["at"], s).otherwise(_let(
+            longest(i), lambda t: F.struct(F.concat(s["out"], F.array(t["x"])).alias("out"), (t["j"] + 1).alias("at")))),
+            lambda s: s["out"])
+    grouped = value.rlike("^[A-Z0-9]+(?:[ -][A-Z0-9]+)+$")
+    return _let(kind_of(value), lambda kind: F.when(kind.isNull() & grouped, _let(
+        F.regexp_extract_all(value, F.lit("[A-Z0-9]+|[ -]"), F.lit(0)), walk)).otherwise(F.array(item(value, kind))))
+
+
 def pseudonym(value: Column, kind: Column, key: str) -> Column:
     """The pseudonym of a valid value of the kind."""
     digits = _digits(value)
@@ -219,12 +253,12 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text", out: str = "pii
     with pseudonyms, and how many values of each kind it had."""
     found, judged, new = fresh(docs, "__found"), fresh(docs, "__judged"), fresh(docs, "__new")
     step = docs.withColumn(found, F.regexp_extract_all(text_of(text), F.lit(CANDIDATE), F.lit(0)))
-    step = step.withColumn(judged, F.transform(found, lambda v: F.struct(v.alias("v"), kind_of(v).alias("kind"))))
-    step = step.withColumn(new, F.transform(judged, lambda x: F.when(x["kind"].isNull(), x["v"]).otherwise(
-        pseudonym(x["v"], x["kind"], key))))
+    step = step.withColumn(judged, F.transform(found, parts_of))
+    step = step.withColumn(new, F.transform(judged, lambda parts: F.array_join(F.transform(parts, lambda x: F.when(
+        x["kind"].isNull(), x["v"]).otherwise(pseudonym(x["v"], x["kind"], key))), "")))
     gaps = F.split(F.col(text), CANDIDATE, -1)
     whole = F.when(F.size(found) == 0, F.col(text)).otherwise(F.array_join(F.zip_with(
         gaps, new, lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), ""))
-    count = lambda kind: F.size(F.filter(judged, lambda x: x["kind"] == kind)).cast("long").alias("n_" + kind)
+    count = lambda kind: F.size(F.filter(F.flatten(judged), lambda x: x["kind"] == kind)).cast("long").alias("n_" + kind)
     result = F.struct(whole.alias("text"), *[count(kind) for kind, _ in KINDS])
     return step.select(*[docs[c] for c in docs.columns], once(result).alias(fresh(docs, out)))

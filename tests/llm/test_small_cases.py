@@ -302,6 +302,20 @@ def test_pseudonyms_keep_format_validity_and_links(spark):
     assert rows[0]["pii_"].n_card == 2 and out[9] == "" and out[10] == texts[10]
 
 
+def test_values_beside_other_digits_get_pseudonyms(spark):
+    card = "4111 1111 1111 1111"
+    texts = [card + " 123", card + " 12/27", "12 4111111111111111", "12 34 56 " + card + " 99", "at 2024-01-31T10:00:00Z", "no 12 2024-01-31 5551 1234",
+             "7 078-05-1120 4111", card + " 4111-1111-1111-1111", "2024-01-31Tx", "4111 1111 1111 1112 124"]
+    rows = pii.pseudonymised(docs_of(spark, texts), "k").orderBy("doc_id").collect()
+    for old, r in zip(texts, rows):
+        new = r.pii.text
+        assert re.sub("[0-9]", "", old) == re.sub("[0-9]", "", new)
+        assert not re.search("4111[ -]?1111[ -]?1111[ -]?1111|2024-01-31(?!Tx)|078-05-1120", new), new
+    assert [r.pii.n_card for r in rows] == [1, 1, 1, 1, 0, 0, 0, 2, 0, 0] and [r.pii.n_date for r in rows] == [0, 0, 0, 0, 1, 1, 0, 0, 0, 0]
+    assert rows[0].pii.text.endswith(" 123") and rows[3].pii.text.startswith("12 34 56 ") and rows[4].pii.text.endswith("T10:00:00Z")
+    assert rows[6].pii.n_ssn == 1 and rows[8].pii.text == texts[8] and rows[9].pii.text == texts[9]
+
+
 def test_networks_are_permutations(spark):
     two = spark.range(1000).select(pii.permute(F.lpad(F.col("id").cast("string"), 3, "0"), "k", F.lit("t")).alias("x"))
     assert {r.x for r in two.collect()} == {f"{i:03d}" for i in range(1000)}

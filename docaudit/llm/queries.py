@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm import decontaminate, lines, machine, mixing, pii, repeats, secrets, simhash, urls, warc
+from docaudit.llm import bpe, decontaminate, lines, machine, mixing, pii, repeats, secrets, simhash, urls, warc
 from docaudit.llm.common import table, written
 from docaudit.session import new_folder
 
@@ -174,3 +174,14 @@ def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.without_repeats(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op11_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    tokens = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return tokens.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm import bpe, decontaminate, lines, machine, mixing, pii, repeats, secrets, simhash, urls, warc
+from docaudit.llm import bpe, decontaminate, lines, machine, mixing, negatives, pii, repeats, secrets, simhash, urls, warc
 from docaudit.llm.common import table, written
 from docaudit.session import new_folder
 
@@ -185,3 +185,27 @@ def op11_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query
+def op12_lemp_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+ORACLES["op12_lemp_negatives"] = """
+with given as (select vec_id::bigint as id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint as label, embedding from embeddings
+    where vec_id is not null and label is not null and len(embedding) > 0
+    and len([x for x in embedding if x is not null and isfinite(x::double)]) = len(embedding)),
+item as (select id, label, [floor(256 * x::double) for x in embedding] as v from given),
+anchor as (select * from item where id % 100 = 0),
+pair as (select a.id as anchor_id, b.id as other, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+    from anchor a join item b on a.id <> b.id),
+positive as (select anchor_id, other as positive_id, score as positive_score from pair where same
+    qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+select anchor_id, positive_id, (row_number() over (partition by anchor_id, positive_id order by score desc, other))::int as rank,
+    other as negative_id, positive_score, score as negative_score
+from positive join pair using (anchor_id)
+where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, other) <= 10
+"""

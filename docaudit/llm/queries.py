@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm import bpe, decontaminate, lines, machine, mixing, negatives, pii, repeats, secrets, simhash, urls, warc
+from docaudit.llm import bpe, decontaminate, lines, machine, mixing, negatives, pii, repeats, search, secrets, simhash, urls, warc
 from docaudit.llm.common import table, written
 from docaudit.session import new_folder
 
@@ -209,3 +209,26 @@ from positive join pair using (anchor_id)
 where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
 qualify row_number() over (partition by anchor_id, positive_id order by score desc, other) <= 10
 """
+
+
+@query
+def op13_presence_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+ORACLES["op13_presence_masks"] = r"""
+with low as (select 'd' as side, doc_id as id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+    union all select 'i', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark),
+word as (select side, id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from low),
+posting as (select id as doc_id, term, count(*) as tf from word where side = 'd' group by 1, 2),
+doc as (select doc_id, sum(tf)::bigint as n from posting group by 1),
+total as (select count(*)::bigint as docs, sum(n)::bigint as terms from doc),
+weight as (select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint as w from posting, total group by term, docs),
+part as (select doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms)) as x
+    from posting join doc using (doc_id), total),
+score as (select id as item_id, doc_id, sum(w * x)::bigint as score
+    from (select distinct id, term from word where side = 'i') join weight using (term) join part using (term) group by 1, 2)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score
+from score where score > 0 qualify row_number() over (partition by item_id order by score desc, doc_id) <= 10
+"""

@@ -26,8 +26,8 @@ import gc
 import json
 import re
 from array import array
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +35,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_PIECES = 500_000
-MAX_PAIRS = 1_000_000
-CHUNK = 400_000
+MAX_PIECES = 250_000
+MAX_PAIRS = 500_000
+CHUNK, TOKENS = 100_000, 500_000
 #: The words of byte-level BPE, and the place of a space before which nothing is ever joined.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BORDER = r" (?=\S)"
@@ -205,7 +205,6 @@ class Encoder:
         added = self.vocabulary.added
         self.known = {w: n for n, w in enumerate(added)}
         self.first, self.flat = array("q", range(len(added) + 1)), array("i", added.values())
-        self.words: dict[str, list[int]] = {}
 
     def pieces(self, text: str) -> list[str]:
         """Parts of the text that are encoded each on its own."""
@@ -238,16 +237,22 @@ class Encoder:
             self.splitter = Tokenizer.from_str(self.vocabulary.source).pre_tokenizer
         return [piece[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(piece)]
 
+    def _add(self, piece: str, ids: Iterable[int]) -> None:
+        self.known[piece] = len(self.first) - 1
+        self.flat.extend(ids)
+        self.first.append(len(self.flat))
+
     def _learn(self, pieces: set[str]) -> None:
+        """Words are pieces, too."""
         split = [(piece, self._split(piece)) for piece in pieces]
-        coded = sorted((w.encode(), w) for w in {w for _, words in split for w in words}.difference(self.words))
-        self.words.update(zip((w for _, w in coded), encode_words([b for b, _ in coded], self.vocabulary)))
-        known, first, flat, ids = self.known, self.first, self.flat, self.words
+        coded = sorted((w.encode(), w) for w in {w for _, words in split for w in words}.difference(self.known))
+        for (_, word), ids in zip(coded, encode_words([b for b, _ in coded], self.vocabulary)):
+            self._add(word, ids)
+        known, first = self.known, self.first
         for piece, words in split:
-            known[piece] = len(first) - 1
-            for w in words:
-                flat.extend(ids[w])
-            first.append(len(flat))
+            if piece not in known:
+                parts = [known[w] for w in words]
+                self._add(piece, chain.from_iterable([self.flat[first[i]:first[i + 1]] for i in parts]))
 
     def __call__(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, given as pieces, one after the other, and where each text ends."""
@@ -309,15 +314,20 @@ def decoded(tokens: DataFrame, vocabulary: str, ids: str = "ids", text: str = "t
             if table is None:
                 known = token_bytes(json.loads(sent.value))
                 table = pa.array([known.get(i) for i in range(max(known, default=-1) + 1)], pa.large_binary())
-            lists = batch.column(place)
-            offsets = np.concatenate(([0], np.cumsum(np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))))
-            words = table.take(lists.flatten())
-            if words.null_count:
-                raise ValueError("an id that the vocabulary does not have")
-            cuts = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1)[offsets]
-            joined = memoryview(words.buffers()[2] or b"")
-            texts = [bytes(joined[a:b]).decode("utf-8", "replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
+            ends = np.cumsum(np.nan_to_num(batch.column(place).value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+            begin = 0
+            while begin < batch.num_rows:  # about so many tokens at once
+                before = int(ends[begin - 1]) if begin else 0
+                stop = max(begin + 1, int(np.searchsorted(ends, before + TOKENS, "right")))
+                part = batch.slice(begin, stop - begin)
+                words = table.take(part.column(place).flatten())
+                if words.null_count:
+                    raise ValueError("an id that the vocabulary does not have")
+                cuts = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1)[np.concatenate(([0], ends[begin:stop] - before))]
+                joined = memoryview(words.buffers()[2] or b"")
+                texts = [bytes(joined[a:b]).decode("utf-8", "replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
+                begin = stop
     from pyspark.sql.types import StringType, StructType
     schema = StructType([*tokens.schema.fields]).add(text, StringType())
     return tokens.mapInArrow(run, schema)

@@ -31,6 +31,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -320,8 +321,10 @@ def decoded(tokens: DataFrame, vocabulary: str, ids: str = "ids", text: str = "t
                 before = int(ends[begin - 1]) if begin else 0
                 stop = max(begin + 1, int(np.searchsorted(ends, before + TOKENS, "right")))
                 part = batch.slice(begin, stop - begin)
-                words = table.take(part.column(place).flatten())
-                if words.null_count:
+                ids = part.column(place).flatten()
+                outside = len(ids) and not 0 <= pc.min(ids).as_py() <= pc.max(ids).as_py() < len(table)
+                words = None if outside else table.take(ids)
+                if words is None or words.null_count:
                     raise ValueError("an id that the vocabulary does not have")
                 cuts = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1)[np.concatenate(([0], ends[begin:stop] - before))]
                 joined = memoryview(words.buffers()[2] or b"")

@@ -84,7 +84,7 @@ class Bucket:
         begin = [int(np.searchsorted(self.sorted[f], a, "left")) for f, a in zip(focus, low)]
         end = [int(np.searchsorted(self.sorted[f], b, "right")) for f, b in zip(focus, high)]
         best = int(np.argmin(np.subtract(end, begin)))
-        if 2 * (end[best] - begin[best]) > len(self.rows):
+        if 4 * (end[best] - begin[best]) > 3 * len(self.rows):
             return None  # most of them: no list is worth reading
         found = self.order[focus[best], begin[best]:end[best]]
         for k, f in enumerate(focus):

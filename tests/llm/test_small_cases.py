@@ -3,6 +3,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import zlib
@@ -223,7 +224,7 @@ def nested():
 @pytest.mark.parametrize("how", nested())
 def test_nested_secrets_are_found_where_they_stand(how):
     text = nested()[how]
-    base, spans, _, _ = secrets.scan(text)
+    base, spans, _ = secrets.scan(text)
     assert not base and any(k == 0 for _, k, _ in spans)
     start, _, end = next(s for s in spans if s[1] == 0)
     hidden = text[start:end]
@@ -232,7 +233,7 @@ def test_nested_secrets_are_found_where_they_stand(how):
 
 def test_base_spans_follow_the_patterns_and_cycles_end():
     text = 'é token = "04dbebab91ab85687d33" AKIA' + "A1" * 9 + " AKIASHORT passwd:short api-key=1 API_KEY=abcdefghijkl secret=token:abcdefghijkl"
-    base, spans, _, _ = secrets.scan(text)
+    base, spans, _ = secrets.scan(text)
     def kind(pattern, flags, test):
         return [(m.start(), m.end()) for m in re.finditer(pattern, text, flags) if test(m)]
     want = [(s, 0, e) for s, e in kind(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, lambda m: len(m[2]) >= 12)]
@@ -252,9 +253,47 @@ def test_secret_table(spark):
     assert secrets.secrets(docs.limit(0)).count() == 0
 
 
-def test_bombs_are_cut():
-    assert secrets.unpack(gzip.compress(b"a" * 5000), 1000) == (b"a" * 1000, True)
-    assert secrets.unpack(gzip.compress(b"a" * 1000), 1000)[0] == b"a" * 1000
+def unpacked(data):
+    return b"".join(secrets.unpacked(iter([data])))
+
+
+def test_streams_longer_than_a_block_are_read_to_their_end(monkeypatch):
+    monkeypatch.setattr(secrets, "STEP", 100)
+    monkeypatch.setattr(secrets, "BLOCK", 1000)
+    monkeypatch.setattr(secrets, "OVERLAP", 100)
+    plain = b"nothing here " * 400
+    for packer in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, lambda x: gzip.compress(bz2.compress(x))):
+        for at in (0, 900, 990, 5000):
+            text = "see " + base64.b64encode(packer(plain[:at] + KEY.encode() + b" " + plain[at:])).decode()
+            assert any(k == 0 and s >= 4 for s, k, _ in secrets.scan(text)[1]), at
+    assert unpacked(gzip.compress(plain)) == plain and unpacked(b"plain") == b""
+    varied = prose(7, 3000).encode()
+    assert varied.startswith(unpacked(gzip.compress(varied)[:-2000])[:5000]) and len(unpacked(gzip.compress(varied)[:-2000])) > 5000
+    assert list(secrets.blocks(iter([b"a" * 950, b"b" * 50, b"c"]))) == [b"a" * 950 + b"b" * 50, b"a" * 50 + b"b" * 50 + b"c"]
+
+
+@pytest.mark.parametrize("sign, again, last", [("%", "25", "3D"), ("\\", "u005c", "u003d"), ("\\", "x5C", "x3d"), ("&", "amp;", "#61;")])
+def test_deeply_nested_escapes_are_undone(sign, again, last):
+    for depth in (1, 2, 3, 4, 5, 8, 5000):
+        text = "x " + KEY.replace("=", sign + again * depth + last) + " y"
+        base, spans, layers = secrets.scan(text)
+        assert [s for s in spans if s[1] == 0] == [(2, 0, len(text) - 2)] and layers < 12, depth
+    sign = "%3D"
+    for _ in range(600):  # each sign escaped the other way
+        sign = sign.replace("%", "\\x25", 1) if sign[0] == "%" else sign.replace("\\", "%5C", 1)
+    mixed = "x " + KEY.replace("=", sign) + " y"
+    assert (2, 0, len(mixed) - 2) in secrets.scan(mixed)[1]
+
+
+def test_odd_encodings_are_unwrapped():
+    assert any(k == 0 for _, k, _ in secrets.scan("%FF" + KEY.replace("=", "%3D%E9"[:3]) + "%E9%20")[1])
+    for how in ("utf-16-le", "utf-16-be"):
+        text = "see " + base64.b64encode(KEY.encode(how)).decode() + " end"
+        assert any(k == 0 and s >= 4 and e <= len(text) - 4 for s, k, e in secrets.scan(text)[1])
+    inside = base64.b64encode(("a " + KEY + " b").encode()).decode().replace("=", "%3D")
+    text = "&lt;" + inside.replace("a", "%61", 1)
+    start, _, end = next(s for s in secrets.scan(text)[1] if s[1] == 0)
+    assert 4 <= start < end <= len(text)
 
 
 def test_runs_with_neighbours_lines_and_members_are_unwrapped():
@@ -274,7 +313,7 @@ def test_runs_with_neighbours_lines_and_members_are_unwrapped():
             start, _, stop = next(s for s in secrets.scan(text)[1] if s[1] == 0 and s[2] - s[0] >= len(KEY))
             assert start >= 9 and stop <= len(text) - 5 and not secrets.scan(secrets.redacted(text))[1]
     for two in (gzip.compress(b"first ") + gzip.compress(KEY.encode()), bz2.compress(b"first ") + bz2.compress(KEY.encode())):
-        assert secrets.unpack(two) == (b"first " + KEY.encode(), False) and secrets.unpack(two, 6) == (b"first ", True)
+        assert unpacked(two) == b"first " + KEY.encode()
         assert any(k == 0 for _, k, _ in secrets.scan(base64.b64encode(two).decode())[1])
 
 

@@ -160,8 +160,7 @@ def mixed(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 
     Rows with a null id have no rate. Of rows that repeat an id each gets the mean of their rates.
     """
-    key = fresh(docs, "__key")
+    key, rate, copies = fresh(docs, "__key"), fresh(docs, "rate"), fresh(docs, "copies")
     rates = mix(docs, labels, id=id, text=text, n_chars=n_chars).groupBy(F.col("id").alias(key)).agg(
-        F.avg("rate").alias("__rate"), F.max("copies").alias("__copies"))
-    return docs.withColumn(key, F.col(id)).join(rates, key, "left").select(
-        *docs.columns, F.col("__rate").alias(fresh(docs, "rate")), F.col("__copies").alias(fresh(docs, "copies")))
+        F.avg("rate").alias(rate), F.max("copies").alias(copies))
+    return docs.withColumn(key, F.col(id)).join(rates, key, "left").select(*docs.columns, rate, copies)

@@ -134,7 +134,7 @@ from page left join best using (payload_digest)
 @query
 def op3_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = F.crc32(F.col("id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 0, F.lit(False))
     model = machine.train(docs, labels, learn=~held_out)
     return machine.score(docs, model).select(
         F.col("id").alias("doc_id"), held_out.alias("held_out"), "score",

@@ -495,6 +495,7 @@ def test_mixing_meets_its_targets(spark):
 
 def test_mixing_of_odd_rows(spark):
     docs = docs_of(spark, [prose(i, 50) for i in range(20)] + [None, ""]).withColumn("rate", F.lit("mine"))
+    docs = docs.withColumns({"__rate": F.lit(1), "__copies": F.lit(2), "__key": F.lit(3)})
     docs = docs.union(docs.limit(1)).union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("bigint")))
     labels = spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(20)] + [(None, 1, 0), (1, None, 0)], LABELS)
     out = mixing.mixed(docs, labels)

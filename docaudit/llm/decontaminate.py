@@ -6,20 +6,23 @@ tokens is a template; beside this typed form runs with names are also taken with
 copies in other case are met. A run of numbers and units alone is taken as it is written. Runs have at most
 ``WINDOW`` tokens and a third of the item's, ``MIN_SIZE`` at least, so that an edited word leaves some on both sides.
 
-Benchmark items and documents are joined on equal runs. Those of one item in one document are chained as long
+Benchmark items and documents are joined on equal runs. A run that more than ``OWN`` templates of items share is a frame: it
+counts towards an item's cover, but only a run of the item's own can open a match (an item without any takes all of its
+runs). So documents and items are paired by own runs first, and only pairs get their other runs. The runs of a pair are chained as long
 as they advance in both; from one to the next the diagonal (document position minus item position) may
 shift by WINDOW words or a quarter of the item, so words can be inserted, dropped or changed. What fills the
 placeholders of a chain must map one to one from the item to the document, which a copy does and a re-parameterised
 question does too, while texts that merely share a frame don't. A document is contaminated by an item if a
-chain covers ``MIN_COVER`` of its words.
+chain covers ``MIN_COVER`` of its words. Equal texts, of documents or of items, are judged once.
 
-Windows of a document are first held against a bit table of the benchmark's window hashes. It has a fixed
-size (``BITS``) and is broadcast; a fuller table lets more windows through, the join is exact either way.
+The first ``MIN_SIZE`` tokens of a document's runs are held against a bit table of the items' runs, and where they are known
+the runs of all sizes against another. Both have a fixed size (``BITS``) and are broadcast; a fuller table lets more
+runs through, the join is exact either way.
 Nothing else of the benchmark reaches the driver. The runs that one document shares with one item are chained in one
 place; there are about as many as the document has words in common with it.
 
-An item with fewer than ``MIN_LITERAL`` tokens that are no placeholders says too little and matches
-nothing. Null and empty texts match nothing, null ids of documents stay null in the result, repeated items are
+An item with fewer than ``MIN_LITERAL`` tokens that are no placeholders says too little as a template: its runs are taken as
+they are written. Items of fewer than ``MIN_SIZE`` words say nothing and are not looked for. Null and empty texts match nothing, null ids of documents stay null in the result, repeated items are
 reported each, repeated documents once. Empty tables give no rows.
 """
 from __future__ import annotations
@@ -40,6 +43,7 @@ WINDOW = 8
 MIN_SIZE = 3
 MIN_LITERAL = 3
 MIN_COVER = 0.6
+OWN = 2
 BITS = 24
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 UNITS = frozenset((
@@ -51,7 +55,7 @@ UNITS = frozenset((
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _NUMBER = re.compile(r"[0-9]+(?:[.,:/][0-9]+)*")
 _MULTIPLIER = 0x9E3779B97F4A7C15
-WINDOWS = "doc bigint, pos int, size int, hash bigint, template string, words array<string>, n int"
+WINDOWS = "doc bigint, pos int, size int, hash bigint, template string, words array<string>, head bigint, n int, whole bigint"
 #: Words that are looked at together; a longer text is taken whole.
 CHUNK = 100_000
 
@@ -97,16 +101,17 @@ def _code(form: str) -> int:
     return xxhash.xxh64_intdigest(form.encode("utf-8", "replace")) | 1
 
 
-def _rolled(codes: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """For every size, the hash of every run of so many codes, modulo 2^64."""
-    total = np.zeros(len(codes), np.uint64)
-    for j in range(max(sizes, default=0)):
-        if j >= len(codes):
-            return
-        total = total[:len(codes) - j] * np.uint64(_MULTIPLIER) + codes[j:]
-        if j + 1 in sizes:
-            mixed = total ^ (total >> np.uint64(29))
-            yield j + 1, mixed * np.uint64(_MULTIPLIER)
+def _hashed(codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The hashes, modulo 2^64, of the runs of so many codes that begin at these places."""
+    total = codes[at]
+    for j in range(1, size):
+        total = total * np.uint64(_MULTIPLIER) + codes[at + j]
+    return (total ^ (total >> np.uint64(29))) * np.uint64(_MULTIPLIER)
+
+
+def _known(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes >> np.uint64(64 - BITS)
+    return ((table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
 def size_of(n: int) -> int:
@@ -114,11 +119,12 @@ def size_of(n: int) -> int:
     return min(n, WINDOW, max(MIN_SIZE, n // 3))
 
 
-def runs_of(words: list[str], of: np.ndarray, codes: np.ndarray, sizes: list[int],
-            table: np.ndarray | None) -> Iterator[tuple[int, int, int, int, str, list[str]]]:
-    """(text, word, size, hash, template, words) of all runs of the sizes that the table knows.
+def runs_of(words: list[str], of: np.ndarray, codes: np.ndarray, sizes: list[int], tables: tuple[np.ndarray, np.ndarray] | None,
+            exact: bool = False) -> Iterator[tuple[int, int, int, int, str, list[str], int]]:
+    """(text, word, size, hash, template, words, hash of the first tokens) of all runs of the sizes that the tables know.
 
-    ``of`` is the text of each word, ``codes`` its hashes.
+    ``of`` is the text of each word, ``codes`` its hashes. ``tables``: of first tokens, of runs. With ``exact`` all runs as they are
+    written, else of those only such of numbers and units alone; where there are tables these say which.
     """
     n = len(words)
     if not n:
@@ -132,28 +138,37 @@ def runs_of(words: list[str], of: np.ndarray, codes: np.ndarray, sizes: list[int
     each = np.arange(n)
     sums = lambda mask: np.concatenate(([0], np.cumsum(mask)))
     literal, names, closed = sums(~(name | open_)[starts]), sums(name), sums(~open_)
-    streams = ((typed[starts], starts, ends, lambda p, k: literal[p + k] > literal[p], lambda w: token(w[0])[1]),
+    as_written = (lambda p, k: np.ones(len(p), bool)) if exact or tables else (lambda p, k: closed[p + k] == closed[p])
+    streams = [(typed[starts], starts, ends, lambda p, k: literal[p + k] > literal[p], lambda w: token(w[0])[1]),
                (plain, each, each + 1, lambda p, k: names[p + k] > names[p],
                 lambda w: f if (f := token(w[0])[1]) in (NUMBER, UNIT) else token(w[0])[0].lower()),
-               (written_, each, each + 1, lambda p, k: closed[p + k] == closed[p], lambda w: token(w[0])[0].lower()))
-    for codes, begin, end, wanted, form in streams:
-        owner = of[begin]
-        for size, hashes in _rolled(codes, sizes):
-            p = np.arange(len(hashes))
-            p = p[(owner[:len(hashes)] == owner[size - 1:]) & wanted(p, size)]
-            if table is not None:
-                bit = hashes[p] >> np.uint64(64 - BITS)
-                p = p[((table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)]
-            for at in p.tolist():
+               (written_, each, each + 1, as_written, lambda w: token(w[0])[0].lower())]
+    for codes, begin, end, wanted, form in streams[2:] if exact else streams:
+        owner, hits = of[begin], {}
+        for size in sizes:
+            start = min(size, MIN_SIZE)
+            if start not in hits:
+                p = np.arange(max(0, len(codes) - start + 1))
+                hits[start] = p if tables is None else p[_known(tables[0], _hashed(codes, p, start))]
+            p = hits[start]
+            p = p[p <= len(codes) - size]
+            p = p[(owner[p] == owner[p + size - 1]) & wanted(p, size)]
+            hashes = _hashed(codes, p, size)
+            if tables is not None:
+                known = _known(tables[1], hashes)
+                p, hashes = p[known], hashes[known]
+            heads = _hashed(codes, p, start)
+            for at, hash_, head in zip(p.tolist(), hashes.view(np.int64).tolist(), heads.view(np.int64).tolist()):
                 parts = [words[b:e] for b, e in zip(begin[at:at + size].tolist(), end[at:at + size].tolist())]
-                yield (int(owner[at]), int(begin[at]), size, int(hashes[at].view(np.int64)), " ".join(map(form, parts)),
-                       [" ".join(token(w)[0] for w in part) for part in parts])
+                yield (int(owner[at]), int(begin[at]), size, hash_, " ".join(map(form, parts)),
+                       [" ".join(token(w)[0] for w in part) for part in parts], head)
 
 
-def _windows(texts: DataFrame, sizes: list[int] | None, table: np.ndarray | None) -> DataFrame:
-    """Runs of (id, text): of all texts those of their own size without ``sizes``, else those the table knows."""
-    sent = None if table is None else texts.sparkSession.sparkContext.broadcast(table)
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.int32()]
+def _windows(texts: DataFrame, sizes: list[int] | None, tables: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """Runs of (id, text): of all texts those of their own size without ``sizes``, else those the tables know.
+    ``head`` is the hash of a run's first tokens, ``whole`` that of an item's template."""
+    sent = None if tables is None else texts.sparkSession.sparkContext.broadcast(tables)
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.int32(), pa.int64()]
     names = ["id", *(f.split()[0] for f in WINDOWS.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,15 +183,17 @@ def _windows(texts: DataFrame, sizes: list[int] | None, table: np.ndarray | None
                 words, of, codes = list(compress(words, there.tolist())), of[there], codes[:, there]
             counts = np.bincount(of, minlength=len(held))
             base, counts = (np.cumsum(counts) - counts).tolist(), counts.tolist()
-            mine = sizes
+            mine, exact, whole = sizes, False, 0
             if mine is None:  # one item
                 forms = [token(w)[1] for w in words]
-                if sum(f not in (NUMBER, NAME, UNIT) for f in forms) < MIN_LITERAL:
+                whole = _code(" ".join(forms)) - (1 << 63)
+                if len(forms) < MIN_SIZE:
                     return
-                size = size_of(len(words))
-                mine = sorted({size, min(size, len(words) - sum(f == g == NAME for f, g in zip(forms, forms[1:])))})
-            for i, at, *rest, bare in runs_of(words, of, codes, mine, None if sent is None else sent.value):
-                yield held[i][0], (held[i][2], at - base[i], *rest, bare, counts[i])
+                exact = sum(f not in (NUMBER, NAME, UNIT) for f in forms) < MIN_LITERAL
+                size = min(len(words), WINDOW) if exact else size_of(len(words))
+                mine = sorted({size, size if exact else min(size, len(words) - sum(f == g == NAME for f, g in zip(forms, forms[1:])))})
+            for i, at, *rest in runs_of(words, of, codes, mine, None if sent is None else sent.value, exact):
+                yield held[i][0], (held[i][2], at - base[i], *rest, counts[i], whole)
 
         for batch in batches:
             ids, rows, held, n = [], [], [], 0
@@ -199,11 +216,11 @@ def _windows(texts: DataFrame, sizes: list[int] | None, table: np.ndarray | None
     return texts.mapInArrow(run, f"id {kind}, {WINDOWS}")
 
 
-def _bit_table(windows: DataFrame) -> np.ndarray:
-    """2^BITS bits, set where the top bits of a window's hash point; its size doesn't grow with anything."""
-    bit = F.shiftrightunsigned("hash", 64 - BITS)
+def _bit_table(windows: DataFrame, hash: str) -> np.ndarray:
+    """2^BITS bits, set where the top bits of a hash point; its size doesn't grow with anything."""
+    bit = F.shiftrightunsigned(hash, 64 - BITS)
     words = windows.groupBy(F.shiftrightunsigned(bit, 6).alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - BITS}) & 63 as int))")).alias("bits"))
+        F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({hash}, {64 - BITS}) & 63 as int))")).alias("bits"))
     table = np.zeros(1 << (BITS - 6), np.uint64)
     for word, bits in words.collect():
         table[word] = bits & 0xFFFFFFFFFFFFFFFF
@@ -293,12 +310,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
     """(id, item, cover, exact): documents that hold an item, the share of its words found, and whether
     what fills its placeholders is the same but for case (else it was re-parameterised)."""
     items = benchmark.select(F.col(item).alias("id"), F.col(item_text).alias("text"))
-    known = written(_windows(items, None, None), "benchmark-windows")
+    known = written(_windows(items, None, None), "benchmark-runs")
+    members = known.select(F.col("id").alias("item"), F.col("doc").alias("of")).distinct()
     sizes = sorted(r[0] for r in known.select("size").distinct().collect())
-    found = _windows(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), sizes, _bit_table(known))
-    known = known.select(F.col("id").alias("item"), F.col("doc").alias("of"), F.col("pos").alias("ipos"), "size", "hash", "template", F.col("words").alias("filled"), F.col("n").alias("n_item"))
-    met = spread_join(found.drop("n"), known, ["hash", "size", "template"])
-    groups = met.groupBy("id", "doc", "item", "of").agg(
+    tables = _bit_table(known, "head"), _bit_table(known, "hash")
+    found = written(_windows(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), sizes, tables).drop("n", "whole", "head"), "document-runs")
+    texts, runs = found.select("id", "doc").distinct(), found.drop("id").distinct()
+    key = ["hash", "size", "template"]
+    known = known.select(F.col("doc").alias("of"), F.col("pos").alias("ipos"), *key, F.col("words").alias("filled"), F.col("n").alias("n_item"), "whole").distinct()
+    frames = known.groupBy(*key).agg(F.count_distinct("whole").alias("templates")).withColumn("frame", F.col("templates") > OWN)
+    known = spread_join(known, frames.select(*key, "frame"), key)
+    bare = known.groupBy("of").agg(F.min("frame").alias("bare"))  # items all of whose runs are frames
+    known = written(spread_join(known, bare, ["of"]), "benchmark-runs")
+    opening = known.filter("not frame or bare").select(*key, "of").distinct()
+    pairs = written(spread_join(runs.select("doc", *key), opening, key).select("doc", "of").distinct(), "pairs")
+    asked = spread_join(known.drop("whole", "frame", "bare"), pairs, ["of"])
+    met = spread_join(runs, asked, ["doc", *key])
+    groups = met.groupBy("doc", "of").agg(
         F.collect_set(F.struct("pos", "ipos", "template", "filled", "words")).alias("runs"), F.max("n_item").alias("n_item"))
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,10 +341,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
                     exacts.append(best[1])
             rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(covers, pa.float64()),
-                                              pa.array(exacts, pa.bool_())], ["id", "item", "cover", "exact"])
-    kinds = [groups.schema[c].dataType.simpleString() for c in ("id", "item")]
-    laid = groups.select("id", "item", "runs", "n_item").mapInArrow(chain, f"id {kinds[0]}, item {kinds[1]}, cover double, exact boolean")
-    return laid.groupBy("id", "item").agg(F.max("cover").alias("cover"), F.max("exact").alias("exact"))
+                                              pa.array(exacts, pa.bool_())], ["doc", "of", "cover", "exact"])
+    laid = groups.mapInArrow(chain, "doc bigint, of bigint, cover double, exact boolean")
+    laid = spread_join(texts, laid, ["doc"])
+    return spread_join(laid, members, ["of"]).groupBy("id", "item").agg(F.max("cover").alias("cover"), F.max("exact").alias("exact"))
 
 
 def clean_of(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id",

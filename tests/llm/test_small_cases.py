@@ -441,6 +441,35 @@ def test_edited_and_lower_cased_copies_of_items_are_met(spark):
     assert rows[6, 0] and not rows[8, 0] and not rows[10, 0]
 
 
+def test_shared_frames_open_no_match(spark):
+    word = lambda kind, k: f"{kind}{''.join('abcdefghij'[int(c)] for c in str(k))}"
+    bench = spark.createDataFrame([(k, f"What is the capital of {word('country', k)} today") for k in range(100)], "item_id bigint, text string")
+    texts = [f"{prose(k, 8)} what is the capital of {word('land', k)} anyway" for k in range(100)] + [f"so what is the capital of {word('country', 7)} today then"]
+    assert [(r.id, r.item) for r in decontaminate.contaminated(docs_of(spark, texts), bench).collect()] == [(100, 7)]
+
+
+def test_items_of_frames_alone_and_of_few_literals_are_met(spark):
+    items = ["the old mill by the river turns slowly when it rains", "the old mill by the river", "the old mill by the river", "the old mill by the river turns",
+             "Rita 5 12 Anna 77", "3 5 8 13", "yes", "Anna 7"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    texts = ["see the old mill by the river here", "list: 3 5 8 13.", "list: 4 5 9 13.", "rita 5 12 anna 77", "Rita 5 13 Anna 77", "yes Anna 7 yes"]
+    rows = {(r.id, r.item) for r in decontaminate.contaminated(docs_of(spark, texts), bench).collect()}
+    assert {(0, 1), (0, 2), (1, 5), (3, 4)} <= rows and not {i for i, _ in rows} & {2, 4, 5}
+
+
+def test_recall_over_all_items_of_the_benchmark(spark):
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    edits = {"inserted": lambda w: w[:len(w) // 2] + ["indeed"] + w[len(w) // 2:], "deleted": lambda w: w[:len(w) // 2] + w[len(w) // 2 + 1:],
+             "lower": lambda w: [x.lower() for x in w], "replaced": lambda w: w[:len(w) // 2] + ["indeed"] + w[len(w) // 2 + 1:],
+             "named": lambda w: [x.replace(x.strip(".,"), "Zed" + x.strip(".,").lower()) if decontaminate.token(x)[1] == decontaminate.NAME else x for x in w]}
+    rows = [(f"{how} {i}", f"{prose(i, 40)} {' '.join(edit(t.split()))} {prose(i + 1, 40)}") for how, edit in edits.items() for i, t in items]
+    rows += [(f"clean {i}", prose(1000 + i, 120)) for i, _ in items]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = Counter(r.id.split()[0] for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id string, text string"), bench).collect() if r.id.split()[1] == str(r.item))
+    print(found)
+    assert all(found[how] >= 0.9 * len(items) for how in edits) and not found["clean"]
+
+
 # classifiers
 
 def test_linear_time_pairs_equal_all_pairs():

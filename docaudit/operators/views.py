@@ -5,6 +5,7 @@ number of findings is still rows that Spark can split.
 """
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
@@ -15,8 +16,10 @@ from docaudit import constants as C
 from docaudit.functions import quality as Q
 from docaudit.functions import text as T
 from docaudit.operators import score as S
+from docaudit.operators import training as TR
 from docaudit.operators.ordered import attach, over_ordered
 from docaudit.operators.rules import Facts
+from docaudit.session import cut_lineage
 
 
 def _counted(docs: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -36,16 +39,23 @@ def document_summary(facts: Facts, findings: DataFrame, predictions: DataFrame)
         "links": facts.links, "findings": findings, "predictions": predictions})
 
 
-def alt_predictions(images: DataFrame) -> DataFrame:
+def alt_predictions(images: DataFrame, model: TR.Model | None = None) -> DataFrame:
     """Only images with a real alt are scored; by the rule when no model is at hand."""
     scored = images.filter(Q.alt_state(F.col("alt")) == C.ALT_PRESENT)
-    rows = over_ordered(scored, ["doc_id"], ["seq"], F.col("seq"), number="rn")
-    used = F.lit(True)
-    return rows.select(
-        "doc_id", (F.col("rn") - 1).alias("idx"), "part", "name", "alt",
-        Q.alt_quality(F.col("alt")).alias("category"),
-        Q.served_confidence(used, F.lit(None).cast("double")).alias("confidence"),
-        used.alias("used_heuristic"), F.lit(None).cast("string").alias("model_version"))
+    rows = over_ordered(scored, ["doc_id"], ["seq"], F.col("seq"), number="rn").select(
+        "doc_id", (F.col("rn") - 1).alias("idx"), "part", "name", "alt")
+    return TR.score(rows, model, "alt").withColumn(
+        "confidence", Q.served_confidence(F.col("used_heuristic"), F.col("confidence")))
+
+
+def served_predictions(images: DataFrame, model: TR.Model | None = None) -> DataFrame:
+    """Predictions that are written once; when the model fails on them the rule decides all of them, and says so."""
+    if model is not None:
+        try:
+            return cut_lineage(alt_predictions(images, model))
+        except Exception as failed:  # whatever the model's fault: the analysis goes on without it
+            warnings.warn(f"model failed, the rule decides: {type(failed).__name__}", stacklevel=2)
+    return alt_predictions(images)
 
 
 def join_by_position(images: DataFrame, answers: DataFrame,

@@ -8,11 +8,13 @@ from docaudit.operators import events as E
 from docaudit.operators import views as V
 from docaudit.plans import oracle as O
 from docaudit.plans.oracle import values, with_views
-from docaudit.plans.registry import query
+from docaudit.plans.packages import document_packages
+from docaudit.plans.registry import ORACLES, query
 from docaudit.schemas import TABLES
-from docaudit.session import new_folder
+from docaudit.session import cut_lineage, new_folder
 from docaudit.sources import derived as D
 from docaudit.streaming import consume as S
+from docaudit.streaming.logs import committed
 
 c = F.col
 
@@ -209,3 +211,43 @@ def streamed_unique_events(spark, sf_dir):
     twice = S.deduplicated(events.unionByName(events), "ts", "60 days")
     return S.run_to_table(twice.select("event_id", "user_id", "event_type"),
                           new_folder(spark, "unique"), new_folder(spark, "unique-state"))
+
+
+@query("streamed_transitions", ORACLES["state_transitions"])
+def streamed_transitions(spark, sf_dir):
+    """The state machine as a stream over the same log."""
+    log = D.event_log_of(_event_stream(spark, sf_dir)).withColumn("at", D.micros(c("ts")))
+    with S.keyed_state(spark):
+        return S.run_to_table(S.transitions(log), new_folder(spark, "transitions"), new_folder(spark, "transitions-state"))
+
+
+@query("streamed_analyses", with_views("""select a.analysis_id, events, case when d.doc_id%31=3 then 'CONCLUIDA' when d.doc_id is
+    null and a.analysis_id%2=1 then null when d.doc_id is null or d.doc_id not in (select doc_id from k_ok) then 'FALHOU' else
+    'CONCLUIDA' end state, case when d.doc_id%31=3 then null when d.doc_id is null and a.analysis_id%2=1 then 'AnaliseNaoEncontrada'
+    when d.doc_id is null then 'BinarioAusente' when d.doc_id not in (select doc_id from k_ok) then 'ParteIlegivel' end exception,
+    case when d.doc_id%31=3 then 0 else coalesce(n, 0) end findings from (select event_id//5 analysis_id, count(*) events
+    from events group by 1) a left join documents d on d.doc_id=a.analysis_id left join (select doc_id, count(*) n from k_findings
+    group by 1) f on f.doc_id=a.analysis_id""", "k_ok", "k_findings"))
+def streamed_analyses(spark, sf_dir):
+    """Every event asks for the analysis of a document, five for each; some documents are missing, some analyses unknown or
+    at their end. The stream is consumed twice, the second time without its checkpoint: the ledger knows all."""
+    documents = D.table(spark, sf_dir, "documents").select("doc_id")
+    packages = cut_lineage(document_packages(spark, sf_dir).withColumnRenamed("doc_id", "analysis_id"))
+    stream = _event_stream(spark, sf_dir).select("event_id", F.floor(c("event_id") / 5).alias("analysis_id"), c("ts").alias("occurred_at"))
+    asked = _events(spark, sf_dir).select(F.floor(c("event_id") / 5).alias("analysis_id")).distinct()
+    known = asked.join(documents.withColumnRenamed("doc_id", "analysis_id").withColumn("there", F.lit(True)), "analysis_id", "left").filter(
+        "there or analysis_id % 2 = 0")
+    analyses = cut_lineage(known.select("analysis_id", F.when(c("there") & (c("analysis_id") % 31 == 3), "CONCLUIDA").otherwise("RECEBIDA").alias("state")))
+    ledger, output = new_folder(spark, "ledger"), new_folder(spark, "analyses")
+    for _ in range(2):
+        S.consume(stream, S.analyse(packages, analyses), ledger, output, new_folder(spark, "consumption"), lambda _: analyses,
+                  F.to_date("occurred_at")).awaitTermination()
+    last = committed(spark, output, "states").groupBy("analysis_id").agg(F.max_by("state", "step").alias("last"))
+    letters = committed(spark, output, "dead_letters").select("analysis_id", "exception")
+    found = committed(spark, output, "findings").groupBy(c("doc_id").alias("analysis_id")).agg(F.count(F.lit(1)).alias("findings"))
+    booked = spark.read.parquet(ledger).join(_events(spark, sf_dir), "event_id").groupBy(F.floor(c("event_id") / 5).alias("analysis_id")).agg(F.count(F.lit(1)).alias("events"))
+    rows = booked.join(analyses, "analysis_id", "left").withColumn("analysis_id", c("analysis_id").cast("string"))
+    for table in (last, letters, found):
+        rows = rows.join(table, "analysis_id", "left")
+    return rows.select(c("analysis_id").cast("bigint").alias("analysis_id"), "events", F.coalesce("last", "state").alias("state"),
+                       "exception", F.coalesce("findings", F.lit(0)).alias("findings"))

@@ -9,6 +9,7 @@ from docaudit.operators import rules as R
 from docaudit.plans import oracle as O
 from docaudit.plans.oracle import with_views
 from docaudit.plans.registry import query
+from docaudit.session import cut_lineage
 from docaudit.sources import derived as D
 from docaudit.sources import packages as P
 
@@ -149,20 +150,23 @@ O.add_view("k_ok", "select doc_id from documents where doc_id%17<>0 and doc_id%1
 O.add_view("k_link_findings", O.VIEWS["f_link"].replace("from d_links", "from k_links"), ["k_links"])
 
 
-@query("package_findings", with_views("""select rule_id, count(*) n from (
+O.add_view("k_findings", """select * from (
     select doc_id, 'IMAGEM_SEM_TEXTO_ALTERNATIVO' rule_id from k_images where alt is null union all
     select doc_id, 'TABELA_SEM_CABECALHO' from k_tables where not first_row_header union all
     select doc_id, 'TITULO_AUSENTE' from k_docs where title is null or trim(title)='' union all
     select doc_id, 'IDIOMA_NAO_DECLARADO' from k_docs where doc_id%4>=2 union all
     select doc_id, rule_id from k_link_findings union all
     select doc_id, 'ORDEM_HIERARQUICA_CABECALHOS' from (select doc_id, level, lag(level, 1, 0) over (partition by
-    doc_id order by seq) b from k_headings) where level>b+1) semi join k_ok using (doc_id) group by 1""", "k_images",
-    "k_tables", "k_docs", "k_headings", "k_link_findings", "k_ok"))
+    doc_id order by seq) b from k_headings) where level>b+1) semi join k_ok using (doc_id)""", ["k_images",
+    "k_tables", "k_docs", "k_headings", "k_link_findings", "k_ok"])
+
+
+@query("package_findings", with_views("select rule_id, count(*) n from k_findings group by 1", "k_findings"))
 def package_findings(spark, sf_dir):
     """All rules over the packages that are packages and of which every part could be read."""
     packages = document_packages(spark, sf_dir)
-    good = P.package_reasons(packages).filter("reason IS NULL").select("doc_id")
+    good = cut_lineage(P.package_reasons(packages).filter("reason IS NULL").select("doc_id"))
     elements, parts = P.shred(packages.join(good, "doc_id", "left_semi"))
-    ids = good.join(X.failed_documents(parts), "doc_id", "left_anti")
+    ids = cut_lineage(good.join(X.failed_documents(parts), "doc_id", "left_anti"))
     facts = X.all_facts(elements.join(ids, "doc_id", "left_semi"), ids)
     return R.run_rules(facts).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))

@@ -105,10 +105,15 @@ def facts(spark: SparkSession, sf_dir: str, shared: bool = True) -> Facts:
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_log_of(table(spark, sf_dir, "events"))
+
+
+def event_log_of(events: DataFrame) -> DataFrame:
+    """The steps of analyses that the events stand for; events may be a stream."""
     kind = F.col("event_type")
     state = (F.when(kind == "signup", "RECEBIDA").when(kind == "view", "PROCESSANDO")
              .when(kind == "purchase", "CONCLUIDA").when(kind == "error", "FALHOU"))
-    return table(spark, sf_dir, "events").filter(kind != "click").select(
+    return events.filter(kind != "click").select(
         F.col("user_id").alias("analysis_id"), "event_id", "ts", state.alias("state"))
 
 

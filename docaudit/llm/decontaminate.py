@@ -55,7 +55,7 @@ UNITS = frozenset((
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _NUMBER = re.compile(r"[0-9]+(?:[.,:/][0-9]+)*")
 _MULTIPLIER = 0x9E3779B97F4A7C15
-WINDOWS = "doc bigint, pos int, size int, hash bigint, template string, words array<string>, head bigint, n int, whole bigint"
+WINDOWS = "doc bigint, pos int, size int, hash bigint, template string, words array<string>, head bigint, n int, whole bigint, bare boolean"
 #: Words that are looked at together; a longer text is taken whole.
 CHUNK = 100_000
 
@@ -87,13 +87,13 @@ class Tokens:
         known = self.known
         if len(known) > 400_000:
             known.clear()
-        for word in set(words).difference(known):
-            at = known[word] = len(known)
-            if at >= self.codes.shape[1]:
-                self.codes = np.concatenate((self.codes, np.zeros_like(self.codes)), axis=1)
-            bare, form = token(word)
-            codes = [_code(form), _code(form if form in (NUMBER, UNIT) else bare.lower()), _code(bare.lower())] if form else [0, 0, 0]
-            self.codes[:, at] = codes
+        new, begin = list(set(words).difference(known)), len(known)
+        end = begin + len(new)
+        known.update(zip(new, range(begin, end)))
+        if end > self.codes.shape[1]:
+            self.codes = np.concatenate((self.codes, np.zeros((3, max(end, self.codes.shape[1])), np.uint64)), axis=1)
+        if new:
+            self.codes[:, begin:end] = np.array(list(map(word_codes, new)), np.uint64).T
         return self.codes[:, np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
 
@@ -101,6 +101,30 @@ def _code(form: str) -> int:
     return xxhash.xxh64_intdigest(form.encode("utf-8", "replace")) | 1
 
 
+_NUMBER_CODE, _NAME_CODE, _UNIT_CODE = map(_code, (NUMBER, NAME, UNIT))
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+
+
+def word_codes(word: str) -> tuple[int, int, int]:
+    """Hashes of a word: typed; lower-cased but for numbers and units; as written. Zeros for punctuation alone."""
+    bare = word.strip(_MARKS)
+    if bare.isalpha():  # most words: no need to look at their edges
+        low = bare.lower()
+        code = _code(low)
+        if low in UNITS:
+            return _UNIT_CODE, _UNIT_CODE, code
+        return _NAME_CODE if len(bare) > 1 and bare[0].isupper() and bare[1:].islower() else code, code, code
+    bare, form = token(word)
+    if not form:
+        return 0, 0, 0
+    code = _code(bare.lower())
+    if form == NUMBER:
+        return _NUMBER_CODE, _NUMBER_CODE, code
+    if form == UNIT:
+        return _UNIT_CODE, _UNIT_CODE, code
+    return _NAME_CODE if form == NAME else code, code, code
+
+
 def _hashed(codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """The hashes, modulo 2^64, of the runs of so many codes that begin at these places."""
     total = codes[at]
@@ -124,7 +148,7 @@ def runs_of(words: list[str], of: np.ndarray, codes: np.ndarray, sizes: list[int
     """(text, word, size, hash, template, words, hash of the first tokens) of all runs of the sizes that the tables know.
 
     ``of`` is the text of each word, ``codes`` its hashes. ``tables``: of first tokens, of runs. With ``exact`` all runs as they are
-    written, else of those only such of numbers and units alone; where there are tables these say which.
+    written count, of an item no others; else only such of numbers and units alone.
     """
     n = len(words)
     if not n:
@@ -138,17 +162,19 @@ def runs_of(words: list[str], of: np.ndarray, codes: np.ndarray, sizes: list[int
     each = np.arange(n)
     sums = lambda mask: np.concatenate(([0], np.cumsum(mask)))
     literal, names, closed = sums(~(name | open_)[starts]), sums(name), sums(~open_)
-    as_written = (lambda p, k: np.ones(len(p), bool)) if exact or tables else (lambda p, k: closed[p + k] == closed[p])
+    as_written = (lambda p, k: np.ones(len(p), bool)) if exact else (lambda p, k: closed[p + k] == closed[p])
     streams = [(typed[starts], starts, ends, lambda p, k: literal[p + k] > literal[p], lambda w: token(w[0])[1]),
                (plain, each, each + 1, lambda p, k: names[p + k] > names[p],
                 lambda w: f if (f := token(w[0])[1]) in (NUMBER, UNIT) else token(w[0])[0].lower()),
                (written_, each, each + 1, as_written, lambda w: token(w[0])[0].lower())]
-    for codes, begin, end, wanted, form in streams[2:] if exact else streams:
+    for codes, begin, end, wanted, form in streams[2:] if exact and tables is None else streams:
         owner, hits = of[begin], {}
         for size in sizes:
             start = min(size, MIN_SIZE)
             if start not in hits:
                 p = np.arange(max(0, len(codes) - start + 1))
+                if wanted is as_written:
+                    p = p[wanted(p, start)]
                 hits[start] = p if tables is None else p[_known(tables[0], _hashed(codes, p, start))]
             p = hits[start]
             p = p[p <= len(codes) - size]
@@ -164,11 +190,12 @@ def runs_of(words: list[str], of: np.ndarray, codes: np.ndarray, sizes: list[int
                        [" ".join(token(w)[0] for w in part) for part in parts], head)
 
 
-def _windows(texts: DataFrame, sizes: list[int] | None, tables: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+def _windows(texts: DataFrame, sizes: list[int] | None, tables: tuple[np.ndarray, np.ndarray] | None, bare: bool = False) -> DataFrame:
     """Runs of (id, text): of all texts those of their own size without ``sizes``, else those the tables know.
-    ``head`` is the hash of a run's first tokens, ``whole`` that of an item's template."""
+    ``head`` is the hash of a run's first tokens, ``whole`` that of an item's template; ``bare`` are runs of items that are
+    taken as they are written, and says of texts whether there are any."""
     sent = None if tables is None else texts.sparkSession.sparkContext.broadcast(tables)
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.int32(), pa.int64()]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
     names = ["id", *(f.split()[0] for f in WINDOWS.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +210,7 @@ def _windows(texts: DataFrame, sizes: list[int] | None, tables: tuple[np.ndarray
                 words, of, codes = list(compress(words, there.tolist())), of[there], codes[:, there]
             counts = np.bincount(of, minlength=len(held))
             base, counts = (np.cumsum(counts) - counts).tolist(), counts.tolist()
-            mine, exact, whole = sizes, False, 0
+            mine, exact, whole = sizes, bare, 0
             if mine is None:  # one item
                 forms = [token(w)[1] for w in words]
                 whole = _code(" ".join(forms)) - (1 << 63)
@@ -193,7 +220,7 @@ def _windows(texts: DataFrame, sizes: list[int] | None, tables: tuple[np.ndarray
                 size = min(len(words), WINDOW) if exact else size_of(len(words))
                 mine = sorted({size, size if exact else min(size, len(words) - sum(f == g == NAME for f, g in zip(forms, forms[1:])))})
             for i, at, *rest in runs_of(words, of, codes, mine, None if sent is None else sent.value, exact):
-                yield held[i][0], (held[i][2], at - base[i], *rest, counts[i], whole)
+                yield held[i][0], (held[i][2], at - base[i], *rest, counts[i], whole, exact)
 
         for batch in batches:
             ids, rows, held, n = [], [], [], 0
@@ -314,17 +341,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
     members = known.select(F.col("id").alias("item"), F.col("doc").alias("of")).distinct()
     sizes = sorted(r[0] for r in known.select("size").distinct().collect())
     tables = _bit_table(known, "head"), _bit_table(known, "hash")
-    found = written(_windows(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), sizes, tables).drop("n", "whole", "head"), "document-runs")
+    bare = known.filter("bare").limit(1).count() > 0
+    found = written(_windows(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), sizes, tables, bare).drop("n", "whole", "head", "bare"), "document-runs")
     texts, runs = found.select("id", "doc").distinct(), found.drop("id").distinct()
     key = ["hash", "size", "template"]
     known = known.select(F.col("doc").alias("of"), F.col("pos").alias("ipos"), *key, F.col("words").alias("filled"), F.col("n").alias("n_item"), "whole").distinct()
     frames = known.groupBy(*key).agg(F.count_distinct("whole").alias("templates")).withColumn("frame", F.col("templates") > OWN)
     known = spread_join(known, frames.select(*key, "frame"), key)
-    bare = known.groupBy("of").agg(F.min("frame").alias("bare"))  # items all of whose runs are frames
-    known = written(spread_join(known, bare, ["of"]), "benchmark-runs")
-    opening = known.filter("not frame or bare").select(*key, "of").distinct()
+    framed = known.groupBy("of").agg(F.min("frame").alias("framed"))  # items all of whose runs are frames
+    known = written(spread_join(known, framed, ["of"]), "benchmark-runs")
+    opening = known.filter("not frame or framed").select(*key, "of").distinct()
     pairs = written(spread_join(runs.select("doc", *key), opening, key).select("doc", "of").distinct(), "pairs")
-    asked = spread_join(known.drop("whole", "frame", "bare"), pairs, ["of"])
+    asked = spread_join(known.drop("whole", "frame", "framed"), pairs, ["of"])
     met = spread_join(runs, asked, ["doc", *key])
     groups = met.groupBy("doc", "of").agg(
         F.collect_set(F.struct("pos", "ipos", "template", "filled", "words")).alias("runs"), F.max("n_item").alias("n_item"))

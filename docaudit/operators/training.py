@@ -1,7 +1,9 @@
 """The alt-quality model on MLlib: features, training, cross-validation, batch scoring.
 
-Samples are (id, text, y, group_key, split, synthetic). Term arrays are built-in expressions;
-vocabularies, weights and the solver are MLlib's. Fold assignment is ours: groups are ranked
+Samples are (id, text, y, group_key, split, synthetic). Terms, the vocabulary with its document frequencies, and the weights of
+terms are tables, whatever their size: features are a join and an aggregate, and so is a score, which is a sum of joined
+weights. The solver is MLlib's and gets sparse vectors made from the table; what it keeps on the driver are the
+coefficients, a number for each term and label. Fold assignment is ours: groups are ranked
 by a seeded hash inside their dominant class and dealt out in turn.
 """
 from __future__ import annotations
@@ -12,12 +14,12 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import (
-    IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler)
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docaudit import constants as C
@@ -25,6 +27,7 @@ from docaudit.functions import quality as Q
 from docaudit.functions import text as T
 from docaudit.operators import metrics as M
 from docaudit.operators.ordered import attach, over_ordered
+from docaudit.session import cut_lineage
 
 MODEL_VERSION = "0.1.0"
 CAVEATS = {
@@ -58,18 +61,22 @@ def char_terms(norm: Column) -> Column:
     return F.flatten(F.transform(padded, lambda p: F.concat(*[grams(p, n) for n in (3, 4, 5)])))
 
 
-def _sublinear(vector: SparseVector) -> SparseVector:
-    return SparseVector(vector.size, vector.indices, 1.0 + np.log(vector.values))
-
-
 @dataclass
 class Model:
-    vocabularies: dict[str, CountVectorizerModel]
-    scales: dict[str, list[float]]
-    classifier: LogisticRegressionModel
+    """vocabulary(block, term, idf, index), coefficients of each label, and their intercepts."""
+
+    vocabulary: DataFrame
+    coefficients: np.ndarray
+    intercepts: np.ndarray
     labels: list[str]
     metadata: dict
 
+    def weights(self) -> DataFrame:
+        """(block, term, w): the coefficients of each term, in the order of the labels."""
+        spark = self.vocabulary.sparkSession
+        rows = pd.DataFrame({"index": np.arange(self.coefficients.shape[1], dtype=np.int64), "w": list(self.coefficients.T.tolist())})
+        return self.vocabulary.join(spark.createDataFrame(rows, "index bigint, w array<double>"), "index").select("block", "term", "w")
+
 
 _BLOCKS = {"word": word_terms, "char": char_terms}
 
@@ -82,19 +89,59 @@ def _terms(samples: DataFrame) -> DataFrame:
         *samples.columns, "terms.*")
 
 
-def _weighted(rows: DataFrame, vocabularies, scales=None) -> DataFrame:
-    log_tf = F.udf(_sublinear, VectorUDT())
-    for name, vocabulary in vocabularies.items():
-        rows = vocabulary.transform(rows).withColumn(f"{name}_tf", log_tf(f"{name}_counts"))
-        if scales is not None:
-            rows = ElementwiseProduct(
-                scalingVec=Vectors.dense(scales[name]), inputCol=f"{name}_tf",
-                outputCol=f"{name}_idf").transform(rows)
-            rows = Normalizer(p=2.0, inputCol=f"{name}_idf", outputCol=f"{name}_x").transform(rows)
-    if scales is None:
-        return rows
-    return VectorAssembler(inputCols=[f"{n}_x" for n in vocabularies], outputCol="features",
-                           handleInvalid="keep").transform(rows)
+def term_counts(samples: DataFrame, key: str = "id") -> DataFrame:
+    """(key, block, term, tf) of samples(key, text): how often each row holds each term."""
+    rows = _terms(samples.select(key, "text"))
+    def tagged(block: str) -> Column:
+        return F.transform(f"{block}_terms", lambda t: F.struct(F.lit(block).alias("block"), t.alias("term")))
+    return rows.select(key, F.inline(F.concat(*map(tagged, _BLOCKS)))).groupBy(key, "block", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def vocabulary(counts: DataFrame, rows: int, min_df: int = 2) -> DataFrame:
+    """(block, term, df, idf): the terms that at least ``min_df`` of the rows hold, all of them."""
+    df = counts.groupBy("block", "term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
+    return df.withColumn("idf", F.log((F.lit(1.0) + rows) / (F.lit(1.0) + F.col("df"))) + 1.0)
+
+
+def tfidf(counts: DataFrame, terms: DataFrame, key: str = "id") -> DataFrame:
+    """(key, block, term, x) with the other columns of ``terms``: damped counts times idf; a row's words, and its
+    characters, have length one."""
+    raw = counts.join(terms, ["block", "term"]).withColumn("raw", (F.log("tf") + 1.0) * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(key, "block")))
+    return raw.withColumn("x", F.col("raw") / length).drop("raw", "tf", "idf", "df")
+
+
+def numbered(terms: DataFrame) -> DataFrame:
+    """The vocabulary with an index from 0, in the order of block and term."""
+    spread = F.conv(F.left(F.md5("term"), F.lit(8)), 16, 10).cast("double")
+    rows = over_ordered(terms.withColumn("h", F.md5("term")), ["block"], ["h", "term"], spread, number="n")
+    words = F.lit(terms.filter(F.col("block") == "word").count())
+    return rows.withColumn("index", F.col("n") - 1 + F.when(F.col("block") == "word", 0).otherwise(words)).drop("n", "h")
+
+
+def _vectors(x: DataFrame, size: int) -> DataFrame:
+    """(id, features) from (id, index, x)."""
+    @F.pandas_udf(VectorUDT())
+    def vector(places: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([SparseVector(size, i, v) for i, v in zip(places, values)])
+    pairs = x.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("index", "x"))).alias("p"))
+    return pairs.select("id", vector(F.col("p.index").cast("array<int>"), F.col("p.x")).alias("features"))
+
+
+def scores(texts: DataFrame, terms: DataFrame, weights: DataFrame, intercepts: Sequence[float], key: str = "id") -> DataFrame:
+    """(key, p) of texts(key, text): the probability of each label in order, from weights(block, term, w array).
+
+    A text without a known term has the intercepts alone. Whether the weights are broadcast follows from their size.
+    """
+    x = tfidf(term_counts(texts, key), terms, key).join(weights, ["block", "term"])
+    k = len(intercepts)
+    sums = x.groupBy(key).agg(*[F.sum(F.col("x") * F.col("w")[i]).alias(f"m{i}") for i in range(k)])
+    margins = F.array(*[F.coalesce(F.col(f"m{i}"), F.lit(0.0)) + float(b) for i, b in enumerate(intercepts)])
+    rows = texts.select(key).join(sums, key, "left").withColumn("m", margins)
+    top = F.array_max("m")
+    shares = rows.withColumn("e", F.transform("m", lambda v: F.exp(v - top)))
+    total = F.aggregate("e", F.lit(0.0), lambda a, v: a + v)
+    return shares.select(key, F.transform("e", lambda v: v / total).alias("p"))
 
 
 def present_labels(samples: DataFrame) -> list[str]:
@@ -107,55 +154,50 @@ def fit(train: DataFrame, labels: Sequence[str], c: float = 1.0, min_df: int = 2
     """TF-IDF of words and characters, then multinomial logistic regression.
 
     ``c`` weighs the summed loss, Spark's ``regParam`` the mean one: regParam = 1 / (c n).
-    Class weights are balanced. The vocabulary is that of the labelled rows, all of it, and lives on
-    the driver.
+    Class weights are balanced. The vocabulary is that of the labelled rows, all of it, as a table.
     """
     # Spread small inputs too: the solver passes over these rows many times.
-    rows = _terms(train.repartition("id")).persist()
+    train = train.repartition("id")
+    sizes = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total, k = sum(sizes.values()), len(sizes)
+    if k < 2:
+        raise ValueError("o treino tem uma classe so")
+    counted = cut_lineage(term_counts(train))
+    terms = cut_lineage(numbered(vocabulary(counted, total, min_df)))
+    size = terms.count()
+    if not size:
+        raise ValueError("o treino nao tem termos")
+    weight = reduce(lambda e, y: e.when(F.col("y") == y, total / (k * sizes[y])),
+                    sorted(sizes), F.when(F.lit(False), 0.0))
+    known = F.array(*map(F.lit, labels))
+    instances = train.select("id", "y").join(_vectors(tfidf(counted, terms), size), "id").select(
+        "features", weight.alias("weight"), (F.array_position(known, F.col("y")) - 1).cast("double").alias("label")).persist()
     try:
-        vocabularies = {n: CountVectorizer(
-            inputCol=f"{n}_terms", outputCol=f"{n}_counts", minDF=float(min_df),
-            vocabSize=(1 << 31) - 1).fit(rows) for n in _BLOCKS}
-        counted = _weighted(rows, vocabularies)
-        scales = {n: [1.0 + float(x) for x in IDF(
-            inputCol=f"{n}_counts", outputCol="unused").fit(counted).idf.toArray()]
-            for n in _BLOCKS}
-        counts = {r["y"]: r["n"] for r in train.groupBy("y").agg(
-            F.count(F.lit(1)).alias("n")).collect()}
-        total, k = sum(counts.values()), len(counts)
-        if k < 2:
-            raise ValueError("o treino tem uma classe so")
-        weight = reduce(lambda e, y: e.when(F.col("y") == y, total / (k * counts[y])),
-                        sorted(counts), F.when(F.lit(False), 0.0))
-        known = F.array(*map(F.lit, labels))
-        instances = _weighted(rows, vocabularies, scales).select(
-            "features", weight.alias("weight"),
-            (F.array_position(known, F.col("y")) - 1).cast("double").alias("label"))
-        classifier = LogisticRegression(
-            family="multinomial", standardization=False, weightCol="weight", maxIter=max_iter,
-            regParam=1.0 / (c * total)).fit(instances)
+        fitted = LogisticRegression(family="multinomial", standardization=False, weightCol="weight", maxIter=max_iter,
+                                    regParam=1.0 / (c * total)).fit(instances)
     finally:
-        rows.unpersist()
-    return Model(vocabularies, scales, classifier, list(labels), {})
+        instances.unpersist()
+    return Model(terms, fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray(), list(labels)[:fitted.numClasses], {})
 
 
 def score(rows: DataFrame, model: Model | None, text: str = "text",
           version: str | None = MODEL_VERSION) -> DataFrame:
-    """Category, confidence, and who decided. Without a model the rule decides, and says so."""
+    """Category, confidence, and who decided. Without a model the rule decides, and says so.
+
+    Equal texts are scored once.
+    """
     if model is None:
         return rows.withColumns({
             "category": Q.alt_quality(F.col(text)), "confidence": F.lit(None).cast("double"),
             "used_heuristic": F.lit(True), "model_version": F.lit(None).cast("string")})
-    kept = rows.columns
-    prepared = _weighted(_terms(rows.withColumn("text", F.col(text))), model.vocabularies,
-                         model.scales)
-    known = F.array(*map(F.lit, model.labels))
-    scored = model.classifier.transform(prepared).withColumn("p", vector_to_array("probability"))
+    of = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+    texts = rows.select(of.alias("__of"), F.coalesce(F.col(text), F.lit("")).alias("text")).dropDuplicates(["__of"])
+    found = scores(texts, model.vocabulary.select("block", "term", "idf"), model.weights(), model.intercepts, "__of")
     best = F.array_max("p")
-    return scored.select(
-        *kept, F.get(known, (F.array_position("p", best) - 1).cast("int")).alias("category"),
-        best.alias("confidence"), F.lit(False).alias("used_heuristic"),
-        F.lit(version).alias("model_version"))
+    known = F.array(*map(F.lit, model.labels))
+    return rows.withColumn("__of", of).join(found, "__of").select(
+        *rows.columns, F.get(known, (F.array_position("p", best) - 1).cast("int")).alias("category"),
+        best.alias("confidence"), F.lit(False).alias("used_heuristic"), F.lit(version).alias("model_version"))
 
 
 def majority_label(train: DataFrame) -> DataFrame:
@@ -328,22 +370,23 @@ def export(model: Model, folder: str, label_kind: str, verdict: dict, counts: di
         "working_label": {"kind": label_kind, "caveat": CAVEATS[label_kind]},
         "split": {"strategy": "grupo por alt normalizado", "parts": list(C.SPLITS)},
         "verdict": {k: v for k, v in verdict.items() if isinstance(v, (str, float, bool))},
-        "scales": model.scales}
+        "intercepts": model.intercepts.tolist()}
     spark = SparkSession.getActiveSession()
-    for name, vocabulary in model.vocabularies.items():
-        vocabulary.write().overwrite().save(f"{folder}/vocabulary-{name}")
-    model.classifier.write().overwrite().save(f"{folder}/classifier")
+    model.vocabulary.write.mode("overwrite").parquet(f"{folder}/vocabulary")
+    weights = pd.DataFrame({"index": np.arange(model.coefficients.shape[1], dtype=np.int64), "w": model.coefficients.T.tolist()})
+    spark.createDataFrame(weights, "index bigint, w array<double>").write.mode("overwrite").parquet(f"{folder}/coefficients")
     spark.createDataFrame([(json.dumps(metadata),)], "value string").coalesce(1).write.mode(
         "overwrite").text(f"{folder}/metadata")
     return metadata
 
 
 def load(spark: SparkSession, folder: str) -> Model | None:
-    """The exported model, or None when there is none to read: the rule takes over."""
+    """The exported model, or None when there is none to read: the rule takes over. What is there but can't be
+    used is an error."""
     try:
         metadata = json.loads(spark.read.text(f"{folder}/metadata").first()["value"])
-        vocabularies = {n: CountVectorizerModel.load(f"{folder}/vocabulary-{n}") for n in _BLOCKS}
-        classifier = LogisticRegressionModel.load(f"{folder}/classifier")
-    except Exception:  # missing or unusable artefact
+    except AnalysisException:  # no such folder
         return None
-    return Model(vocabularies, metadata["scales"], classifier, metadata["labels"], metadata)
+    rows = spark.read.parquet(f"{folder}/coefficients").orderBy("index").toPandas()
+    return Model(spark.read.parquet(f"{folder}/vocabulary"), np.array(rows["w"].tolist()).T, np.array(metadata["intercepts"]),
+                 metadata["labels"], metadata)

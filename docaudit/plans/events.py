@@ -232,9 +232,9 @@ def streamed_analyses(spark, sf_dir):
     """Every event asks for the analysis of a document, five for each; some documents are missing, some analyses unknown or
     at their end. The stream is consumed twice, the second time without its checkpoint: the ledger knows all."""
     documents = D.table(spark, sf_dir, "documents").select("doc_id")
-    packages = cut_lineage(document_packages(spark, sf_dir).withColumnRenamed("doc_id", "analysis_id"))
     stream = _event_stream(spark, sf_dir).select("event_id", F.floor(c("event_id") / 5).alias("analysis_id"), c("ts").alias("occurred_at"))
     asked = _events(spark, sf_dir).select(F.floor(c("event_id") / 5).alias("analysis_id")).distinct()
+    packages = cut_lineage(document_packages(spark, sf_dir, asked.withColumnRenamed("analysis_id", "doc_id")).withColumnRenamed("doc_id", "analysis_id"))
     known = asked.join(documents.withColumnRenamed("doc_id", "analysis_id").withColumn("there", F.lit(True)), "analysis_id", "left").filter(
         "there or analysis_id % 2 = 0")
     analyses = cut_lineage(known.select("analysis_id", F.when(c("there") & (c("analysis_id") % 31 == 3), "CONCLUIDA").otherwise("RECEBIDA").alias("state")))

@@ -35,8 +35,8 @@ def _body(x, i):
             .otherwise(p(run)))
 
 
-def document_packages(spark, sf_dir):
-    """Every document as a package whose paragraphs, images, links and tables are its lines."""
+def document_packages(spark, sf_dir, only=None):
+    """Every document, or those whose ids ``only`` has, as a package whose paragraphs, images, links and tables are its lines."""
     d = c("doc_id")
     lines = F.split(P.xml_text(c("text")), "\n")
     body = F.array_join(F.transform(lines, _body), "")
@@ -55,7 +55,10 @@ def document_packages(spark, sf_dir):
         part(C.STYLES_PART, wrap("w:styles", lang)), part(C.PROPERTIES_PART, wrap("w:props", title)),
         part("word/_rels/document.xml.rels", wrap("rel:Relationships", rels)),
         part("word/header1.xml", F.when(d % 23 == 0, F.lit("<w:hdr>")).otherwise(wrap("w:hdr", F.lit("")))))
-    return P.write_packages(D.table(spark, sf_dir, "documents").select("doc_id", parts.alias("parts")))
+    documents = D.table(spark, sf_dir, "documents")
+    if only is not None:
+        documents = documents.join(only.select("doc_id"), "doc_id", "left_semi")
+    return P.write_packages(documents.select("doc_id", parts.alias("parts")))
 
 
 def _shredded(spark, sf_dir, materialize=False):

@@ -17,17 +17,18 @@ import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from docaudit import constants as C
 from docaudit.functions import quality as Q
 from docaudit.functions import text as T
 from docaudit.operators import metrics as M
 from docaudit.operators.ordered import attach, over_ordered
-from docaudit.session import cut_lineage
+from docaudit.session import cut_lineage, new_folder
 
 MODEL_VERSION = "0.1.0"
 CAVEATS = {
@@ -120,12 +121,14 @@ def numbered(terms: DataFrame) -> DataFrame:
 
 
 def _vectors(x: DataFrame, size: int) -> DataFrame:
-    """(id, features) from (id, index, x)."""
-    @F.pandas_udf(VectorUDT())
-    def vector(places: pd.Series, values: pd.Series) -> pd.Series:
-        return pd.Series([SparseVector(size, i, v) for i, v in zip(places, values)])
+    """(id, features) from (id, index, x): written in the form in which Parquet holds sparse vectors, and read as such."""
     pairs = x.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("index", "x"))).alias("p"))
-    return pairs.select("id", vector(F.col("p.index").cast("array<int>"), F.col("p.x")).alias("features"))
+    vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
+                      F.col("p.index").cast("array<int>").alias("indices"), F.col("p.x").alias("values"))
+    folder = new_folder(x.sparkSession, "vectors")
+    pairs.select("id", vector.alias("features")).write.parquet(folder)
+    schema = StructType([x.schema["id"], StructField("features", VectorUDT())])
+    return x.sparkSession.read.schema(schema).parquet(folder)
 
 
 def scores(texts: DataFrame, terms: DataFrame, weights: DataFrame, intercepts: Sequence[float], key: str = "id") -> DataFrame:

@@ -89,6 +89,7 @@ class AnalysisView:
     findings: DataFrame
     scores: DataFrame
     predictions: DataFrame
+    docs: DataFrame
 
 
 def analysis_view(docs: DataFrame, findings: DataFrame, predictions: DataFrame) -> AnalysisView:
@@ -99,16 +100,16 @@ def analysis_view(docs: DataFrame, findings: DataFrame, predictions: DataFrame)
         _counted(docs, {"total_findings": findings, "total_predictions": predictions}), "doc_id")
     headers = headers.select("doc_id", "owner_id", "state", "title", "total_findings",
                              "total_predictions", "global_score")
-    return AnalysisView(headers, findings, S.principle_scores(finished, findings), predictions)
+    return AnalysisView(headers, findings, S.principle_scores(finished, findings), predictions, docs)
 
 
 def of_owner(view: AnalysisView, owner: Column) -> AnalysisView:
-    """What one owner may read; foreign and missing analyses look the same."""
-    headers = view.headers.filter(F.col("owner_id") == owner)
-    ids = headers.select("doc_id")
-    kept = {name: attach(getattr(view, name), ids, "doc_id", "left_semi")
+    """What one owner may read; foreign and missing analyses look the same. Whose an analysis is says the table of
+    documents: no header has to be made for it."""
+    docs = view.docs.filter(F.col("owner_id") == owner)
+    kept = {name: attach(getattr(view, name), docs.select("doc_id"), "doc_id", "left_semi")
             for name in ("findings", "scores", "predictions")}
-    return replace(view, headers=headers, **kept)
+    return replace(view, headers=view.headers.filter(F.col("owner_id") == owner), docs=docs, **kept)
 
 
 def cascade(parents: DataFrame, children: Mapping[str, DataFrame]) -> dict[str, DataFrame]:

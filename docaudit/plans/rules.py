@@ -1,6 +1,9 @@
 """Rules, findings, scores and views over the derived documents."""
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docaudit import constants as C
@@ -10,9 +13,12 @@ from docaudit.operators import score as S
 from docaudit.operators import views as V
 from docaudit.plans.oracle import alt_quality, with_views
 from docaudit.plans.registry import query
+from docaudit.session import cut_lineage, new_folder
 from docaudit.sources import derived as D
 from docaudit.sources.catalog import catalogue
+from docaudit.sources.stored import store
 
+c = F.col
 _NAMES = ("image", "table", "heading", "title", "link", "language")
 
 
@@ -164,11 +170,27 @@ def analysis_headers(spark, sf_dir):
     """select doc_id, rule_id, evidence from findings semi join
        (select * from d_docs where owner_id=37) using (doc_id)""", "findings", "d_docs"))
 def owner_findings(spark, sf_dir):
-    facts, found = _findings(spark, sf_dir)
-    view = V.analysis_view(facts.docs, found, V.alt_predictions(facts.images))
+    """The owner's documents come first: only their lines are numbered and judged."""
+    mine = cut_lineage(D.docs(spark, sf_dir).filter("owner_id = 37"))
+    facts = D.facts(spark, sf_dir, only=mine)
+    view = V.analysis_view(mine, cut_lineage(R.run_rules(facts)), V.alt_predictions(facts.images))
     return V.of_owner(view, F.lit(37)).findings.select("doc_id", "rule_id", "evidence")
 
 
+@query("owner_findings_by_time", with_views(
+    """select owner_id, row_number() over (partition by owner_id order by created_at, doc_id, rule_id, evidence)
+       as position, created_at, doc_id, rule_id, evidence from findings join d_docs using (doc_id) join (select o_orderkey doc_id,
+       epoch_us(o_orderdate) created_at from orders) using (doc_id) where owner_id in (37, 38, 40)""", "findings", "d_docs"))
+def owner_findings_by_time(spark, sf_dir):
+    """All findings are stored in order of each owner's time; three owners read theirs, without a sort."""
+    facts, found = _findings(spark, sf_dir)
+    of = D.table(spark, sf_dir, "orders").select(c("o_orderkey").alias("doc_id"), c("o_custkey").alias("owner_id"),
+                                                 D.micros(c("o_orderdate")).alias("created_at"))
+    rows = found.join(of, "doc_id").select("owner_id", "created_at", "doc_id", "rule_id", "evidence")
+    table = store(rows, new_folder(spark, "findings-by-owner"), "owner_id", ["created_at", "doc_id", "rule_id", "evidence"], c("created_at"))
+    return reduce(DataFrame.unionByName, [table.of(spark, owner) for owner in (37, 38, 40)])
+
+
 @query("retention_cascade", with_views(
     """select child, count(*) kept from (
        select doc_id, 'findings' child from findings union all

@@ -27,8 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread_if_one_file(rows) if name in TEXT_TABLES else rows
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All order lines, numbered once per order, with their part and the heading level before.
+def lines(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """All order lines, or those of the documents that ``only`` has, numbered once per order, with their part and the heading
+    level before.
 
     Every kind of line fact is a selection of columns of this one table.
     """
@@ -36,6 +37,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus",
         level.alias("level"))
+    if only is not None:
+        rows = rows.join(only.select(F.col("doc_id").alias("l_orderkey")), "l_orderkey", "left_semi")
     spread = F.col("l_linenumber") * F.lit(1e12) + F.col("l_partkey")
     rows = over_ordered(rows, ["l_orderkey"], _LINE_ORDER, spread, number="seq", previous={"before": ("level", 0)})
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_name",
@@ -96,10 +99,13 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).cast("bigint").alias("seq"), value.alias("value"))
 
 
-def facts(spark: SparkSession, sf_dir: str, shared: bool = True) -> Facts:
-    """All facts. Shared lines are numbered and joined once and written; without, each kind that is
-    read plans them anew, which suits a query of one kind."""
-    of = cut_lineage(lines(spark, sf_dir)) if shared else lines(spark, sf_dir)
+def facts(spark: SparkSession, sf_dir: str, shared: bool = True, only: DataFrame | None = None) -> Facts:
+    """All facts, or those of the documents that ``only`` holds. Shared lines are numbered and joined once and written; without,
+    each kind that is read plans them anew, which suits a query of one kind."""
+    of = cut_lineage(lines(spark, sf_dir, only)) if shared else lines(spark, sf_dir, only)
+    if only is not None:
+        spoken = languages(spark, sf_dir).join(only.select("doc_id"), "doc_id", "left_semi")
+        return Facts(only, images(spark, sf_dir, of), tables(spark, sf_dir, of), headings(spark, sf_dir, of), links(spark, sf_dir, of), spoken)
     return Facts(docs(spark, sf_dir), images(spark, sf_dir, of), tables(spark, sf_dir, of),
                  headings(spark, sf_dir, of), links(spark, sf_dir, of), languages(spark, sf_dir))
 

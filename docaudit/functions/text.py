@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
 from collections.abc import Callable
-from functools import partial
+from functools import lru_cache, partial
 
 import pandas as pd
 from pyspark.sql import Column
@@ -104,16 +105,28 @@ def normalize_link(c: Column) -> Column:
     return trim_ws(F.regexp_replace(bare, r"\s+", " "))
 
 
-# Characters whose case folding is longer than their lower case (fixed values).
-_FOLD_EXCEPTIONS = {"ß": "ss", "ẞ": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ſ": "s", "ς": "σ"}
+@lru_cache
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """Case folding of all code points: those that become one character, what they become, and the longer ones."""
+    folded = {a: a.casefold() for a in map(chr, range(sys.maxunicode + 1)) if a != a.casefold()}
+    single = {a: b for a, b in folded.items() if len(b) == 1}
+    return "".join(single), "".join(single.values()), {a: b for a, b in folded.items() if len(b) > 1}
+
+
+def case_folded(c: Column) -> Column:
+    """Full case folding. Only texts with a character that becomes several are taken apart."""
+    ones, into, longer = _foldings()
+    single = F.translate(c, ones, into)
+    table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    # A surrogate pair is one match, so no character is cut.
+    whole = F.array_join(F.transform(F.regexp_extract_all(single, F.lit("(?s)."), 0), lambda x: F.coalesce(
+        F.try_element_at(table, x), x)), "")
+    return (F.when(_is_ascii(c), F.lower(c)).when(c.rlike(f"[{''.join(longer)}]"), whole).otherwise(single))
 
 
 def normalize_audit(c: Column) -> Column:
     """Whitespace collapsed and case folded; accents stay."""
-    folded = F.lower(collapse_ws(c))
-    for char, plain in _FOLD_EXCEPTIONS.items():
-        folded = F.replace(folded, F.lit(char), F.lit(plain))
-    return folded
+    return case_folded(collapse_ws(c))
 
 
 def is_url(c: Column) -> Column:

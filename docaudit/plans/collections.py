@@ -131,8 +131,7 @@ O.add_view("d_img", """select doc_id page_id, (line_no)::int seq, line_no%4<>1 h
            ["d_lines"])
 
 
-def page_images(spark, sf_dir):
-    pages = image_pages(spark, sf_dir)
+def page_images(pages):
     images = H.image_alts(pages)
     from docaudit.operators.ordered import attach, over_ordered
     counted = over_ordered(images, ["page_id"], ["seq"], c("seq"), running={
@@ -143,6 +142,10 @@ def page_images(spark, sf_dir):
                        F.coalesce(idx, c("with_alt") - F.lit(0.5)).alias("idx"), "has_alt", "alt")
 
 
+def page_collection(spark, sf_dir) -> K.Collection:
+    return K.collect_pages(image_pages(spark, sf_dir), C.QUOTA, page_images, "page_id")
+
+
 @query("image_alts", with_views("select * from d_img", "d_img"))
 def image_alts(spark, sf_dir):
     rows = H.image_alts(image_pages(spark, sf_dir))
@@ -174,20 +177,20 @@ O.add_view("d_pages", """select page_id page_ord, concat('https://example.org/d/
 @query("collected_alts", with_views("select page_id page_ord, idx::double idx, t alt, reason, g group_key "
                                     "from d_taken", "d_taken"))
 def collected_alts(spark, sf_dir):
-    return K.collect_pages(page_images(spark, sf_dir), C.QUOTA).accepted.select(
+    return page_collection(spark, sf_dir).accepted.select(
         "page_ord", c("idx").cast("double").alias("idx"), "alt", "reason", "group_key")
 
 
 @query("collection_by_page", with_views("select * from d_pages", "d_pages"))
 def collection_by_page(spark, sf_dir):
-    return K.collect_pages(page_images(spark, sf_dir), C.QUOTA).per_page
+    return page_collection(spark, sf_dir).per_page
 
 
 @query("collection_totals", with_views("select " + ", ".join(
     f"sum({n})::bigint {n}" for n in ("images", "no_alt", "empty_alt", "not_insufficient",
                                       "duplicates", "accepted")) + " from d_pages", "d_pages"))
 def collection_totals(spark, sf_dir):
-    return K.collect_pages(page_images(spark, sf_dir), C.QUOTA).totals
+    return page_collection(spark, sf_dir).totals
 
 
 # ------------------------------------------------------------------------- archive

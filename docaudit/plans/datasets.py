@@ -171,7 +171,7 @@ _SYNTHETIC = ", ".join("({}, {}, '{}', '{}')".format(i, r, a, p) for r, (p, alts
 def synthetic_fill(spark, sf_dir):
     """What is missing after the rows at hand and those collected from the web."""
     rows = D.alt_rows(spark, sf_dir)
-    web = DS.web_rows(K.collect_pages(PC.page_images(spark, sf_dir), C.QUOTA).accepted)
+    web = DS.web_rows(PC.page_collection(spark, sf_dir).accepted)
     return DS.fill_quota(rows, web, 1_000_000_000).select(
         "id", "alt", "group_key", "split", "filter_reason")
 
@@ -190,7 +190,7 @@ def archive_rows(spark, sf_dir):
     'example.org' file, t alt, g group_key, {O.split_of('g')} split, reason filter_reason,
     concat('https://example.org/d/', page_id) url from d_taken""", "d_taken"))
 def web_rows(spark, sf_dir):
-    return DS.web_rows(K.collect_pages(PC.page_images(spark, sf_dir), C.QUOTA).accepted).select(
+    return DS.web_rows(PC.page_collection(spark, sf_dir).accepted).select(
         "id", "file", "alt", "group_key", "split", "filter_reason", "url")
 
 

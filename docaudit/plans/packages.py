@@ -61,7 +61,8 @@ def document_packages(spark, sf_dir, only=None):
     return P.write_packages(documents.select("doc_id", parts.alias("parts")))
 
 
-def _shredded(spark, sf_dir, materialize=False):
+def _shredded(spark, sf_dir, materialize=True):
+    """Written once where facts read the elements several times."""
     return P.shred(document_packages(spark, sf_dir), materialize)
 
 
@@ -86,8 +87,8 @@ O.add_view("k_languages", """select doc_id, 'word/styles.xml' part, 1 seq, 'pt-B
 
 @query("package_titles", with_views("select * from k_docs", "k_docs"))
 def package_titles(spark, sf_dir):
-    packages = document_packages(spark, sf_dir)
-    return packages.select("doc_id").join(X.titles(P.shred(packages, False)[0]), "doc_id", "left")
+    return D.table(spark, sf_dir, "documents").select("doc_id").join(
+        X.titles(_shredded(spark, sf_dir, False)[0]), "doc_id", "left")
 
 
 @query("package_images", with_views("""select doc_id, part, seq::int seq, name, alt, case when alt is null
@@ -115,7 +116,7 @@ def package_links(spark, sf_dir):
 
 @query("package_languages", with_views("select * from k_languages", "k_languages"))
 def package_languages(spark, sf_dir):
-    return X.languages(_shredded(spark, sf_dir)[0])
+    return X.languages(_shredded(spark, sf_dir, False)[0])
 
 
 O.add_view("k_text", r"""select doc_id, 2*i k, trim(regexp_replace(case when i%7=1 then '' else line end,
@@ -132,14 +133,14 @@ O.add_view("k_text", r"""select doc_id, 2*i k, trim(regexp_replace(case when i%7
     from k_text) join (select doc_id, i, case when i%2=0 then nullif(trim(string_split(line, ' ')[1]), '') end a
     from k_lines) using (doc_id, i) where i%7=1""", "k_text", "k_lines"))
 def package_alt_candidates(spark, sf_dir):
-    elements, parts = _shredded(spark, sf_dir, True)
+    elements, parts = _shredded(spark, sf_dir)
     return X.alt_candidates(elements, parts)
 
 
 @query("package_part_report", """select doc_id, 'word/header1.xml' unreadable, '' too_large from documents
     where doc_id%23=0""")
 def package_part_report(spark, sf_dir):
-    return X.part_report(_shredded(spark, sf_dir)[1])
+    return X.part_report(_shredded(spark, sf_dir, False)[1])
 
 
 @query("package_reasons", """select doc_id, case when doc_id%19=0 then

@@ -42,12 +42,17 @@ def link_text_normalized(spark, sf_dir):
         "doc_id", "line_no", T.normalize_link(c("alt")).alias("norm"))
 
 
+# Every fifth line ends in letters whose folding isn't their lower case.
+_TO_FOLD, _FOLDED = "\ufb03 Stra\u1e9ee \u039f\u03a3 \u03c2 \u0535\u0582\u0587 \u01f0 \u13f8\uab70", "ffi strasse \u03bf\u03c3 \u03c3 \u0565\u0582\u0565\u0582 j\u030c \u13f0\u13a0"
+
+
 @query("audit_normalized", with_views(
-    f"""select doc_id, line_no, replace(lower(trim(regexp_replace(alt, '{O._WS}', ' ', 'g'))),
-        'ß', 'ss') as norm from d_lines""", "d_lines"))
+    f"""select doc_id, line_no, trim(replace(lower(trim(regexp_replace(alt, '{O._WS}', ' ', 'g'))), 'ß', 'ss') ||
+        case when line_no%5=0 then ' {_FOLDED}' else '' end) as norm from d_lines""", "d_lines"))
 def audit_normalized(spark, sf_dir):
+    more = F.when(c("line_no") % 5 == 0, f" {_TO_FOLD}").otherwise("")
     return D.alt_lines(spark, sf_dir).select(
-        "doc_id", "line_no", T.normalize_audit(c("alt")).alias("norm"))
+        "doc_id", "line_no", T.normalize_audit(F.concat("alt", more)).alias("norm"))
 
 
 @query("url_texts", f"""select page_id, regexp_matches(lower(url), '{C.URL_START}') is_url,

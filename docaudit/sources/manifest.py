@@ -6,6 +6,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docaudit.session import new_folder
+
 MANIFEST = """
     documentos array<struct<arquivo: string, url: string, orgao: string, esfera: string,
         categoria: string, licenca: string, sha256: string, bytes: bigint,
@@ -27,16 +29,12 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return documents, failures
 
 
-def written_list(names: DataFrame) -> str:
-    """All names in order, joined where they are; empty without any."""
-    return names.agg(F.array_join(F.array_sort(F.collect_set(names.columns[0])), ", ")).first()[0]
-
-
 def verify_corpus(spark: SparkSession, documents: DataFrame, folder: str,
                   strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """(verified, differing): manifest rows whose file exists, by content hash.
 
-    The hash is computed where a file is read, so only names and hashes are shuffled.
+    The hash is computed where a file is read, so only names and hashes are shuffled. In strict mode files that
+    differ are an error that says how many there are, which is the first, and where the table of all of them lies.
     """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(folder)
              .select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("arquivo"),
@@ -44,11 +42,13 @@ def verify_corpus(spark: SparkSession, documents: DataFrame, folder: str,
     both = documents.join(files, "arquivo")
     differing = both.filter("found_sha256 <> sha256").select("arquivo", "sha256", "found_sha256")
     if strict:
-        names = written_list(differing.select("arquivo"))
-        if names:
-            raise CorpusError("sha256 divergente do manifesto em: " + names
-                              + ". O arquivo em disco nao e o que foi coletado; recolete antes "
-                                "de montar dataset.")
+        path = new_folder(spark, "divergencias")
+        differing.write.parquet(path)
+        differing = spark.read.schema(differing.schema).parquet(path)
+        n, first = differing.agg(F.count(F.lit(1)), F.min("arquivo")).first()
+        if n:
+            raise CorpusError(f"sha256 divergente do manifesto em {n} arquivo(s), o primeiro {first}, todos em {path}. "
+                              "O arquivo em disco nao e o que foi coletado; recolete antes de montar dataset.")
     fill = {"orgao": "desconhecido", "esfera": "desconhecida", "categoria": "desconhecida",
             "licenca": "nao declarada", "url": ""}
     kept = both.filter("found_sha256 = sha256").na.fill(fill).select(

@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import Window as W
 
 from docaudit import constants as C
 from docaudit.operators import audit as U
+from docaudit.operators import collect as K
 from docaudit.operators import dataset as DS
 from docaudit.operators import events as E
 from docaudit.operators import metrics as M
@@ -242,8 +244,9 @@ def test_manifest_is_read_and_files_verified(spark, tmp_path):
     assert [(r["file"], r["org"], r["license"]) for r in kept.collect()] == [("a.docx", "O", "nao declarada")]
     assert failures.first()["erro"] == "e"
     (tmp_path / "raw/a.docx").write_bytes(content + b"x")
-    with pytest.raises(manifest.CorpusError, match="a.docx"):
+    with pytest.raises(manifest.CorpusError, match="em 1 arquivo.*a.docx") as error:
         manifest.verify_corpus(spark, documents, str(tmp_path / "raw"))
+    assert spark.read.parquet(re.search("todos em ([^ ]+)[.] ", str(error.value))[1]).first()["arquivo"] == "a.docx"
 
 
 def test_sinks_refuse_to_overwrite(spark, tmp_path):
@@ -333,3 +336,34 @@ def test_folds_never_split_a_group_and_deal_classes_evenly(spark):
     sizes = folded.select("group_key", "y", "fold").distinct().groupBy("y", "fold").count()
     spread = sizes.groupBy("y").agg((F.max("count") - F.min("count")).alias("d")).agg(F.max("d")).first()[0]
     assert spread <= 1
+
+
+@pytest.mark.parametrize("quota, read", [(3, 1024), (2000, 4096), (10**6, 6001)])
+def test_pages_are_read_as_far_as_the_quota_needs(spark, tmp_path, capsys, quota, read):
+    spark.range(6000).selectExpr("id page_ord").union(spark.sql("select null")).repartition(3).sortWithinPartitions(
+        "page_ord").write.parquet(str(tmp_path / "pages"))
+    parts = []
+
+    def images(pages):
+        parts.append(pages)
+        return pages.select("page_ord", F.lit("u").alias("url"), F.lit(0).alias("idx"), F.lit(True).alias("has_alt"),
+                            F.concat(F.lit("image"), "page_ord", F.lit(".png")).alias("alt"))
+
+    got = K.collect_pages(spark.read.parquet(str(tmp_path / "pages")), quota, images)
+    taken = [r.page_ord for r in got.accepted.orderBy("page_ord").collect()]
+    assert taken == list(range(min(quota, 6000))) and got.totals.first()["accepted"] == len(taken)
+    assert sum(p.count() for p in parts) == read + (read < 6000)  # and the page without a place
+    for part in parts:
+        part.explain("formatted")
+    plans = capsys.readouterr().out
+    assert plans.count("PushedFilters: [Or(IsNull(page_ord)") == 1
+    assert plans.count("PushedFilters: [IsNotNull(page_ord), GreaterThanOrEqual(page_ord") == len(parts) - 1
+
+
+def test_archive_is_read_as_far_as_the_limit_needs(spark):
+    files = spark.range(-3, 20_000).selectExpr("id ord", "id pageid", "concat('Cena ', id % 900) caption", "'' description")
+    got = K.collect_archive(files, 100)
+    assert [r.ord for r in got.accepted.orderBy("ord").collect()][-1] == 96
+    assert got.accepted.count() == 100 and {r.reason: r.files for r in got.totals.collect()} == {"duplicado": 0}
+    assert K.collect_archive(files.limit(0), 5).accepted.count() == 0
+    assert K.collect_archive(files, 10**6).accepted.count() == 903

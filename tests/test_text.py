@@ -119,3 +119,11 @@ def test_python_functions_need_no_package_on_executors():
                 "pickle.loads(sys.stdin.buffer.read());"
                 "assert not any(m.startswith('docaudit') for m in sys.modules)")
         subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(fn), check=True, cwd="/")
+
+
+def test_case_folding_of_all_code_points(spark):
+    chars = [chr(i) for i in range(1, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(chars[i:i + 512]) for i in range(0, len(chars), 512)] + ["", "ABC", "\U00010400\u00df", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(8)
+    for r in rows.select("t", T.case_folded(F.col("t")).alias("f")).collect():
+        assert r.f == (r.t if r.t is None else r.t.casefold())

@@ -6,6 +6,8 @@ They disagree on purpose and stay apart.
 """
 from __future__ import annotations
 
+from dataclasses import fields
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,6 +16,7 @@ from docaudit import constants as C
 from docaudit.functions import quality as Q
 from docaudit.functions import text as T
 from docaudit.operators.rules import Facts
+from docaudit.session import cut_lineage
 
 _PART = ["doc_id", "part"]
 c = F.col
@@ -148,6 +151,11 @@ def all_facts(elements: DataFrame, documents: DataFrame) -> Facts:
                  languages(elements))
 
 
+def kept(facts: Facts) -> Facts:
+    """The facts as tables, each worked out once: for plans that read them several times or would grow large."""
+    return Facts(*[cut_lineage(getattr(facts, f.name)) for f in fields(facts)])
+
+
 def failed_documents(parts: DataFrame) -> DataFrame:
     """In the rule dialect one unreadable part fails the document."""
     return parts.filter("status = 'unreadable'").select("doc_id").distinct()

@@ -101,8 +101,8 @@ def analyse(packages: DataFrame, analyses: DataFrame | None = None, model: TR.Mo
         failed = cut_lineage(said(X.failed_documents(parts).unionByName(refused), "doc_id", "ParteIlegivel").unionByName(
             said(missing, "analysis_id", "BinarioAusente")).unionByName(said(unknown, "analysis_id", "AnaliseNaoEncontrada")))
         ready = cut_lineage(ids.join(failed, "analysis_id", "left_anti").select(F.col("analysis_id").alias("doc_id")))
-        # every fact reads these rows: joined once, not once for each
-        facts = X.all_facts(cut_lineage(elements.join(ready, "doc_id", "left_semi")), ready)
+        # every fact reads these rows: joined once, not once for each; rules and predictions read the facts as tables
+        facts = X.kept(X.all_facts(cut_lineage(elements.join(ready, "doc_id", "left_semi")), ready))
         ends = events.join(failed, "analysis_id", "left").filter(
             F.col("exception").isNull() | (F.col("exception") != "AnaliseNaoEncontrada"))
         steps = F.when(F.col("exception").isNull(), F.array(F.lit("PROCESSANDO"), F.lit("CONCLUIDA"))).otherwise(F.array(F.lit("FALHOU")))

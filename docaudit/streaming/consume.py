@@ -16,7 +16,7 @@ from docaudit.operators import events as E
 from docaudit.operators import training as TR
 from docaudit.operators.ordered import first_per_group
 from docaudit.session import cut_lineage
-from docaudit.streaming.logs import Batch, BatchLog, bucket, run_of
+from docaudit.streaming.logs import Batch, BatchLog, bucket, exists, run_of
 
 
 def event_topic(spark: SparkSession, servers: str, topic: str) -> DataFrame:
@@ -43,7 +43,7 @@ def consume(stream: DataFrame, work: Callable[[DataFrame], dict[str, DataFrame]]
     ``day`` is the part of the ledger an event belongs to, such as its day; an event that is repeated names the
     same part, however late. Without it, and for states, parts are buckets of ids. A batch reads no other parts. A
     batch replayed after a failure writes its own folders again and leaves them out of what it reads; the mark
-    of a batch in "commits" is written last (see ``logs.committed``).
+    of a batch in "commits" is written last (see ``logs.committed``). A batch of which nothing is due does no work.
     """
     spark = stream.sparkSession
     run = run_of(spark, checkpoint)
@@ -62,13 +62,17 @@ def consume(stream: DataFrame, work: Callable[[DataFrame], dict[str, DataFrame]]
             ended = ended.unionByName(states(spark).select(F.col("analysis_id").cast("string"), "state"))
         first = first_per_group(fresh, "analysis_id", [arrival, "event_id"])
         due = cut_lineage(E.unprocessed(first, spark.createDataFrame([], "event_id string"), ended))
-        for name, table in work(due).items():
-            if name == "states":
-                kept.write(table, batch)
-            else:
-                table.write.mode("overwrite").parquet(f"{output}/{name}/run={run}/batch={number}")
+        begun, place = f"{output}/begun/run={run}/batch={number}", f"run={run}/batch={number}"
+        # nothing is due: the tables stay as they are, unless there are none or an attempt at this batch has written some
+        if not (due.isEmpty() and exists(spark, f"{output}/commits") and not exists(spark, begun)):
+            due.agg(F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(begun)
+            for name, table in work(due).items():
+                if name == "states":
+                    kept.write(table, batch)
+                else:
+                    table.write.mode("overwrite").parquet(f"{output}/{name}/{place}")
         book.write(fresh, batch)
-        fresh.agg(F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{output}/commits/run={run}/batch={number}")
+        fresh.agg(F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{output}/commits/{place}")
 
     return (stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -31,6 +31,15 @@ def run_of(spark: SparkSession, checkpoint: str) -> str:
         return spark.read.text(folder).first()["value"]
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder that only jobs with one row a batch write to is there."""
+    try:
+        spark.read.schema("rows bigint").parquet(folder)
+        return True
+    except AnalysisException:
+        return False
+
+
 @dataclass(frozen=True)
 class Batch:
     run: str

@@ -81,6 +81,24 @@ def test_a_replayed_batch_writes_the_same_again(spark, folder):
     assert table(spark, folder, "done", "event_id") == [("e1",), ("e2",)]
 
 
+def test_a_batch_of_which_nothing_is_due_does_no_work(spark, folder):
+    calls = []
+
+    def work(due):
+        calls.append(sorted(r.event_id for r in due.collect()))
+        return {"found": due.select("event_id"), "states": due.select("analysis_id", "event_id", F.lit(1).alias("step"), F.lit("CONCLUIDA").alias("state"))}
+
+    send(spark, folder, ("e1", "a", at(1)))
+    drain(spark, folder, work)
+    send(spark, folder, ("e1", "a", at(1)), ("e2", "a", at(2)))  # known, ended
+    drain(spark, folder, work)
+    assert calls == [["e1"]] and table(spark, folder, "found", "event_id") == [("e1",)]
+    send(spark, folder, ("e3", "b", at(3)))
+    drain(spark, folder, work)
+    assert calls == [["e1"], ["e3"]] and table(spark, folder, "found", "event_id") == [("e1",), ("e3",)]
+    assert spark.read.parquet(folder("out") + "/commits").count() == 3
+
+
 def test_a_batch_reads_only_the_parts_its_rows_name(spark, folder):
     log = BatchLog(folder("log"), "event_id string", F.to_date("occurred_at").cast("string"))
     log.create(spark)
